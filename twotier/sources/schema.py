@@ -87,6 +87,13 @@ def flow_schema(with_difficulty: bool = True) -> T.StructType:
                                   with_difficulty=with_difficulty)
 
 
+def loaded_flow_schema() -> T.StructType:
+    """Schema after load: 40 features + label (no difficulty, no
+    ``num_outbound_cmds``)."""
+    return T.StructType([f for f in flow_schema(with_difficulty=False).fields
+                         if f.name != "num_outbound_cmds"])
+
+
 def read_feature_list(spark: SparkSession, path: str) -> DataFrame:
     """Comma list (possibly written as ``a,\\nb``) -> one row per feature (SRC5)."""
     text = spark.read.option("wholetext", True).text(path)
