@@ -5,5 +5,5 @@ from .common import REGISTRY
 
 def load_all():
     """Import every plan module so its queries register."""
-    from . import evaluation, learning, relational  # noqa: F401
+    from . import control, evaluation, learning, relational  # noqa: F401
     return REGISTRY
