@@ -43,7 +43,8 @@ def nb_ctes(prefix: str, train_src: str, y: str, cols: list[str], var_smoothing:
 {prefix}_tr as (select {y}, {scaled_cols(prefix + '_mm', cols)} from {train_src}, {prefix}_mm),
 {prefix}_st as (select {y}, count(*) as n, {per} from {prefix}_tr group by {y}),
 {prefix}_p as (select {", ".join(wide)},
-               {var_smoothing} * (select max(v) from ({gv}) g) as eps from {prefix}_st)"""
+               {var_smoothing} * (select max(v) from ({gv}) g) as eps,
+               (select max(v) from ({gv}) g) as maxv from {prefix}_st)"""
 
 
 def jll_sql(prefix: str, k: int, cols: list[str], x: str = "x") -> str:
