@@ -130,3 +130,39 @@ def rank_flag(df: DataFrame, group_cols: list[str], hash_col: str, k: DataFrame,
     j = df.join(F.broadcast(kth), group_cols, "left")
     return j.withColumn(out, F.coalesce(F.col(hash_col) <= F.col("_kth"), F.lit(False)).cast("int")) \
         .drop("_kth")
+
+
+def kth_smallest_value(df: DataFrame, col: str, k: int, n_buckets: int = 64,
+                       max_rank_rows: int = 1_000_000) -> float | None:
+    """Exact k-th smallest value (1-based) of a double column.
+
+    Approximate-quantile buckets narrow the search to one bucket (bucket
+    counts are a tiny aggregate); the loop refines until the candidate set is
+    small enough to rank in one task.  Only bucket counts and the final
+    value reach the driver, never rows.
+    """
+    if k <= 0:
+        return None
+    cur = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+    rest = k
+    for _ in range(8):
+        n = cur.count()
+        if n == 0 or rest > n:
+            return None
+        if n <= max_rank_rows:
+            break
+        b = quantile_buckets(cur, "_v", n_buckets, out="_b")
+        hist = sorted((r["_b"], r["_n"]) for r in
+                      b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect())
+        before = 0
+        target = None
+        for bucket, cnt in hist:
+            if before + cnt >= rest:
+                target = bucket
+                break
+            before += cnt
+        rest -= before
+        cur = b.where(F.col("_b") == target).select("_v")
+    w = Window.orderBy("_v")
+    row = cur.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == rest).first()
+    return None if row is None else float(row["_v"])
