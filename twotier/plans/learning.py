@@ -258,3 +258,43 @@ def nb_cascade(spark, sf_dir):
 def nb_tags(spark, sf_dir):
     """CAS1 tag distribution of the NB+NB cascade."""
     return nb_scored(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------- adaptation report
+def _segments(s: DataFrame, train_labels: DataFrame, phase: str) -> DataFrame:
+    """Per-class and seen/unseen detection of one phase (AGG10 + AGG11)."""
+    from ..operators import metrics as mt2
+    by_class = mt2.detection_rate_by_class(s).select(F.col("attack_class").alias("segment"),
+                                                      "total", "detected", "ratio")
+    su = mt2.detection_rate_seen_unseen(s, train_labels).select(F.col("seen").alias("segment"),
+                                                                "total", "detected", "ratio")
+    return by_class.unionByName(su).withColumn("phase", F.lit(phase))
+
+
+@query("adaptation_report", with_base("""
+select phase, segment, count(*) as total, cast(sum(pred) as bigint) as detected,
+       round(cast(sum(pred) as double) / count(*), 6) as ratio
+from (
+  select 'before' as phase, attack_class as segment, pred from scored where """ + TEST + """ and attack_class <> 'normal'
+  union all
+  select 'after', attack_class, pred from nbs where attack_class <> 'normal'
+  union all
+  select 'before', case when label in (select label from tl) then 'seen' else 'unseen' end, pred
+  from scored where """ + TEST + """ and label <> 'normal'
+  union all
+  select 'after', case when label in (select label from tl) then 'seen' else 'unseen' end, pred
+  from nbs where label <> 'normal'
+) x group by phase, segment""", extra=NB_EXTRA + ",\ntl as (select label from lf where " + TRAIN
+                                 + " and attack_class <> 'probe')"))
+def adaptation_report(spark, sf_dir):
+    """TUN8: detection by class and seen/unseen before (rule cascade) and
+    after (NB+NB cascade) adaptation, on the same test rows; probe labels
+    are unseen (scenario F1 training labels)."""
+    from ..operators import labels as lb2
+    from .common import scored_flows
+    train, _ = split_frames(spark, sf_dir)
+    train_labels = lb2.remove_classes(train, ["probe"]).select("label")
+    before = sp.hash_split(scored_flows(spark, sf_dir)).where(F.col("split") == "test")
+    after = nb_scored(spark, sf_dir)
+    return _segments(before, train_labels, "before").unionByName(_segments(after, train_labels, "after")) \
+        .select("phase", "segment", "total", "detected", "ratio")
