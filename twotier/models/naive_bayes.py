@@ -99,3 +99,52 @@ def nb_params_frame(df: DataFrame, features: list[str], y: str) -> DataFrame:
     stack = "stack({k}, {parts}) as (feature, mean, var)".format(
         k=len(features), parts=", ".join(f"'{f}', m_{f}, v_{f}" for f in features))
     return per.select(F.col(y).alias("y"), "n", F.expr(stack))
+
+
+def combine_moments(parts: list[tuple[int, float, float]]) -> tuple[int, float, float]:
+    """(n, mean, population variance) of a union of groups (Chan et al.)."""
+    n = sum(p[0] for p in parts)
+    if n == 0:
+        return 0, 0.0, 0.0
+    mean = sum(p[0] * p[1] for p in parts) / n
+    m2 = sum(p[0] * p[2] + p[0] * (p[1] - mean) ** 2 for p in parts)
+    return n, mean, m2 / n
+
+
+def moments_by_group(df: DataFrame, keys: list[str], features: list[str]) -> list:
+    """One aggregate: per key group count, min, max, mean, population
+    variance of every feature (bounded output: one row per key combination)."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.min(F.col(f).cast("double")).alias(f"mn_{f}") for f in features],
+        *[F.max(F.col(f).cast("double")).alias(f"mx_{f}") for f in features],
+        *[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in features],
+        *[F.var_pop(F.col(f).cast("double")).alias(f"v_{f}") for f in features],
+    ).collect()
+
+
+def nb_from_moments(groups: list, y: str, features: list[str], var_smoothing: float = 1e-9):
+    """Min-max scaler + Gaussian NB on the scaled features, derived exactly
+    from per-group raw moments: scaled mean = (mean - lo) / range, scaled
+    variance = variance / range^2."""
+    from ..operators.features import MinMax
+    mins = {f: min(g[f"mn_{f}"] for g in groups) for f in features}
+    maxs = {f: max(g[f"mx_{f}"] for g in groups) for f in features}
+    mm = MinMax(mins, maxs)
+    rng = {f: (maxs[f] - mins[f]) if maxs[f] != mins[f] else 1.0 for f in features}
+    classes = sorted({int(g[y]) for g in groups})
+    counts, means, variances = {}, {}, {}
+    glob_var = {}
+    for f in features:
+        _, _, v = combine_moments([(g["_n"], g[f"m_{f}"], g[f"v_{f}"]) for g in groups])
+        glob_var[f] = v / rng[f] ** 2
+    for c in classes:
+        part = [g for g in groups if int(g[y]) == c]
+        counts[c] = sum(g["_n"] for g in part)
+        means[c], variances[c] = {}, {}
+        for f in features:
+            _, m, v = combine_moments([(g["_n"], g[f"m_{f}"], g[f"v_{f}"]) for g in part])
+            means[c][f] = (m - mins[f]) / rng[f]
+            variances[c][f] = v / rng[f] ** 2
+    nb = GaussianNB(features, classes, counts, means, variances, max(glob_var.values()), var_smoothing)
+    return mm, nb

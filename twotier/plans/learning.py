@@ -142,13 +142,16 @@ def icfs_selected(spark, sf_dir):
 
 # --------------------------------------------------------------------------- naive Bayes
 def fit_layer_models(spark, sf_dir, var_smoothing: float = 1e-9):
-    """Per-layer scaler + NB model fitted on the training rows."""
+    """Per-layer scaler + NB model from ONE aggregate over the training rows:
+    raw moments per (y_l1, y_l2, in-layer-2) group (at most 8 rows), combined
+    on the driver into each layer's min-max constants and class statistics."""
+    from ..models.naive_bayes import moments_by_group, nb_from_moments
     train, test = split_frames(spark, sf_dir)
-    mm1 = fe.fit_minmax(train, L1_FEATURES)
-    nb1 = fit_gaussian_nb(mm1.apply(train, keep=["y_l1"]), L1_FEATURES, "y_l1", var_smoothing)
-    tr2 = train.where(F.col("attack_class").isin(L2_CLASSES))
-    mm2 = fe.fit_minmax(tr2, L2_FEATURES)
-    nb2 = fit_gaussian_nb(mm2.apply(tr2, keep=["y_l2"]), L2_FEATURES, "y_l2", var_smoothing)
+    feats = sorted(set(L1_FEATURES) | set(L2_FEATURES))
+    groups = moments_by_group(train.withColumn("_l2", F.col("attack_class").isin(L2_CLASSES)),
+                              ["y_l1", "y_l2", "_l2"], feats)
+    mm1, nb1 = nb_from_moments(groups, "y_l1", L1_FEATURES, var_smoothing)
+    mm2, nb2 = nb_from_moments([g for g in groups if g["_l2"]], "y_l2", L2_FEATURES, var_smoothing)
     return (mm1, nb1), (mm2, nb2), test
 
 

@@ -46,6 +46,17 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, keys: list[str], target: int | None = None) -> DataFrame:
+    """Spread an under-partitioned scan (e.g. one unsplittable row group)
+    over the cluster by hashing the row key.  A large input already has at
+    least ``defaultParallelism`` scan partitions and is returned unchanged,
+    so no shuffle is added at scale."""
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
+
+
 def _s(c: str) -> Column:
     return F.col(c).cast("string")
 
@@ -87,7 +98,8 @@ def lineitem_to_flows(li: DataFrame) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main fixture: one flow per lineitem row (whole table)."""
-    return lineitem_to_flows(load_table(spark, sf_dir, "lineitem"))
+    li = ensure_parallelism(load_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return lineitem_to_flows(li)
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
