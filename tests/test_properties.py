@@ -92,3 +92,27 @@ def test_entry_runs(spark):
 def test_scored_flows_tags_cover_all_branches(spark, sf_dir):
     tags = {r["tag"] for r in scored_flows(spark, sf_dir).select("tag").distinct().collect()}
     assert tags == {"L1_ANOMALY", "L2_ANOMALY", "NOT_ANOMALY2", "QUARANTINE"}
+
+
+def test_stream_model_swap_epochs_cover_all_rows(spark, sf_dir):
+    rows = Q["stream_model_swap"](spark, sf_dir).collect()
+    assert {r["epoch"] for r in rows} == {0, 1}
+    n = labelled_flows(spark, sf_dir).count()
+    assert sum(r["tp"] + r["fp"] + r["tn"] + r["fn"] for r in rows if r["layer"] == 1) == n
+
+
+def test_retrain_best_publishes_new_version(spark, sf_dir):
+    rows = Q["retrain_best"](spark, sf_dir).collect()
+    assert {r["layer"] for r in rows} == {1, 2}
+    assert all(r["version"] == 1 and r["seconds"] > 0 for r in rows)
+
+
+def test_rf_trials_one_row_per_trial(spark, sf_dir):
+    rows = Q["rf_trials"](spark, sf_dir).collect()
+    assert sorted(r["trial_id"] for r in rows) == [0, 1, 2, 3]
+    assert all(0.0 <= r["obj_tpr"] <= 1.0 for r in rows)
+
+
+def test_pca_2d_by_class_covers_rows(spark, sf_dir):
+    rows = Q["pca_2d_by_class"](spark, sf_dir).collect()
+    assert sum(r["n"] for r in rows) == labelled_flows(spark, sf_dir).count()

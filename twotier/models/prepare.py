@@ -80,8 +80,10 @@ class CentredPCA:
         return arr.select(*keep, *[F.col("_a")[j].alias(f"{prefix}{j + 1}") for j in range(self.k)])
 
 
-def fit_pca(train: DataFrame, vec_col: str, variance: float = 0.95) -> CentredPCA:
-    """FEA4: smallest k with cumulative explained variance >= ``variance``."""
+def fit_pca(train: DataFrame, vec_col: str, variance: float = 0.95, k: int | None = None) -> CentredPCA:
+    """FEA4: smallest k with cumulative explained variance >= ``variance``
+    (or a fixed ``k``, e.g. 2 for the class scatter of FEA5)."""
+    k_fixed = k
     d = len(train.select(vec_col).first()[0])
     arr = vector_to_array(F.col(vec_col))
     means_row = train.select(arr.alias("_a")).agg(
@@ -92,7 +94,7 @@ def fit_pca(train: DataFrame, vec_col: str, variance: float = 0.95) -> CentredPC
     model = PCA(k=d, inputCol="_c", outputCol="_p").fit(centred)
     ev = np.array(model.explainedVariance.toArray(), dtype=float)
     cum = np.cumsum(ev)
-    k = int(np.searchsorted(cum, variance - 1e-12) + 1)
+    k = k_fixed or int(np.searchsorted(cum, variance - 1e-12) + 1)
     k = max(1, min(k, d))
     pc = model.pc.toArray()
     signs = np.ones(d)
