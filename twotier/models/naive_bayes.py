@@ -68,6 +68,27 @@ class GaussianNB:
             den = e if den is None else den + e
         return num / den
 
+    def decision(self, inputs: dict[str, Column] | None = None) -> Column:
+        """Binary log-odds jll(1) - jll(0) as a per-feature quadratic
+        C + sum_f x_f * (b_f + a_f * x_f): the same value as the difference of
+        the joint log-likelihoods, a fraction of the expression size (p > 0.5
+        exactly when it is > 0)."""
+        eps = self.epsilon
+        total = sum(self.counts.values())
+        const = math.log(self.counts[1] / total) - math.log(self.counts[0] / total)
+        expr = None
+        for f in self.features:
+            v0 = (self.variances[0][f] or 0.0) + eps
+            v1 = (self.variances[1][f] or 0.0) + eps
+            m0, m1 = self.means[0][f], self.means[1][f]
+            const += -0.5 * math.log(v1) + 0.5 * math.log(v0) - m1 * m1 / (2 * v1) + m0 * m0 / (2 * v0)
+            a = 1.0 / (2 * v0) - 1.0 / (2 * v1)
+            b = m1 / v1 - m0 / v0
+            x = inputs[f] if inputs and f in inputs else F.col(f).cast("double")
+            term = x * (F.lit(b) + F.lit(a) * x)
+            expr = term if expr is None else expr + term
+        return F.lit(const) + expr
+
     def transform(self, df: DataFrame, prob_col: str = "p1", pred_col: str = "nb_pred") -> DataFrame:
         p = self.proba(1)
         return df.withColumn(prob_col, p).withColumn(pred_col, (F.col(prob_col) > F.lit(0.5)).cast("int"))

@@ -45,8 +45,8 @@ def nb_trial_counts(spark, sf_dir) -> DataFrame:
     preds = []
     for t in trials:
         i = t["trial_id"]
-        preds.append((nb1.with_smoothing(t["vs1"]).proba(1, in1) > F.lit(0.5)).cast("int").alias(f"p1_{i}"))
-        preds.append((nb2.with_smoothing(t["vs2"]).proba(1, in2) > F.lit(0.5)).cast("int").alias(f"p2_{i}"))
+        preds.append((nb1.with_smoothing(t["vs1"]).decision(in1) > F.lit(0.0)).cast("int").alias(f"p1_{i}"))
+        preds.append((nb2.with_smoothing(t["vs2"]).decision(in2) > F.lit(0.0)).cast("int").alias(f"p2_{i}"))
     x = x.select("y_l1", "y_l2", "_l2", *preds)
     y1, y2, l2 = F.col("y_l1"), F.col("y_l2"), F.col("_l2")
     aggs = []
