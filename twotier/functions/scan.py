@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_GROUPS = 100_000
+
+
 def hash_prefix_bucket(col: str | Column, digits: int = 2) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.substring(c, 1, digits)
@@ -45,12 +48,29 @@ def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 64, out: str = "_
     return b.transform(df).withColumn(out, F.col(tmp).cast("int")).drop(tmp)
 
 
+ROWS_PER_BUCKET = 1_000_000
+MAX_BROADCAST_OFFSETS = 200_000
+
+
+def digits_for_rows(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, min_digits: int = 2) -> int:
+    """Hex-prefix length giving about ``rows_per_bucket`` rows per bucket."""
+    need = max(1.0, n_rows / rows_per_bucket)
+    return max(min_digits, min(7, math.ceil(math.log(need, 16)) if need > 1 else min_digits))
+
+
+def buckets_for_rows(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 64,
+                     hi: int = 100_000) -> int:
+    return int(max(lo, min(hi, math.ceil(n_rows / rows_per_bucket))))
+
+
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
                 bucket_col: str, partition_cols: list[str] | None = None,
-                prefix: str = "cum_") -> DataFrame:
+                prefix: str = "cum_", n_offsets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ascending ``order_cols``
     within ``partition_cols``.  ``bucket_col`` must be non-decreasing in that
-    order.  Adds ``{prefix}{v}`` columns."""
+    order.  Adds ``{prefix}{v}`` columns.  ``n_offsets`` (buckets x
+    partitions) decides whether the offsets are broadcast (bounded) or
+    joined with a shuffle (beyond ``MAX_BROADCAST_OFFSETS``)."""
     parts = partition_cols or []
     w_in = (Window.partitionBy(*parts, bucket_col).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -61,7 +81,8 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     offsets = totals.select(
         *parts, bucket_col,
         *[F.coalesce(F.sum(f"_tot_{v}").over(w_b), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
-    joined = local.join(F.broadcast(offsets), [*parts, bucket_col], "inner")
+    small = n_offsets is not None and n_offsets <= MAX_BROADCAST_OFFSETS
+    joined = local.join(F.broadcast(offsets) if small else offsets, [*parts, bucket_col], "inner")
     return joined.select(
         *df.columns,
         *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in value_cols])
@@ -84,6 +105,9 @@ def kth_hash(df: DataFrame, group_cols: list[str], hash_col: str, k: DataFrame,
     ranked.  Returns ``group_cols + [_kth]`` (one row per group, bounded), with
     ``_kth`` = the largest hash when k >= group size and NULL when k <= 0.
     """
+    n_groups = k.count()  # k is one row per group: check before broadcasting it
+    if n_groups > MAX_BROADCAST_GROUPS:
+        raise ValueError(f"{n_groups} groups exceed the broadcast bound {MAX_BROADCAST_GROUPS}")
     bucket = "_hb"
     x = df.select(*group_cols, hash_col).withColumn(bucket, hash_prefix_bucket(hash_col, digits))
     hist = x.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias("_n"),

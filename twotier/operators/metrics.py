@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import (confusion_aggs, count_if, mcc_column, r6, rate_columns,
                                ratio_or_null, snapshot_metric_columns)
-from ..functions.scan import hash_prefix_bucket, prefix_sums, quantile_buckets
+from ..functions.scan import (buckets_for_rows, digits_for_rows, hash_prefix_bucket, prefix_sums,
+                              quantile_buckets)
 from ..sources import taxonomy as tx
 
 
@@ -67,15 +68,16 @@ def detection_rate_seen_unseen(test: DataFrame, train: DataFrame, pred: str = "p
                                label: str = "label") -> DataFrame:
     """AGG11: unseen = attack labels of test absent from train.
 
-    Distinct train labels are a small set (bounded by the taxonomy plus any
-    unlisted names); they are de-duplicated before the anti-join so only that
-    set is shuffled/broadcast.
+    Label sets are de-duplicated (partial aggregation) before the anti-join,
+    so only distinct labels move.  Their count has no hard bound (unlisted
+    names are allowed), so no broadcast is forced: AQE picks a broadcast from
+    the measured size, or a shuffle join beyond it.
     """
     train_labels = train.select(label).distinct()
     attacks = test.where(F.col(label) != "normal")
     unseen = attacks.select(label).distinct().join(train_labels, label, "left_anti") \
         .withColumn("_unseen", F.lit(1))
-    flagged = attacks.join(F.broadcast(unseen), label, "left").withColumn(
+    flagged = attacks.join(unseen, label, "left").withColumn(
         "seen", F.when(F.col("_unseen") == 1, F.lit("unseen")).otherwise(F.lit("seen")))
     return flagged.groupBy("seen").agg(
         F.count(F.lit(1)).alias("total"),
@@ -127,19 +129,28 @@ def profile_changed(old: DataFrame, new: DataFrame) -> DataFrame:
            & F.col("old_n_rows").eqNullSafe(F.col("n_rows")))).cast("int").alias("changed"))
 
 
-def roc_points(df: DataFrame, score: str, y: str, n_buckets: int = 64) -> DataFrame:
+def _score_table(df: DataFrame, score: str, y: str, bin_digits: int | None):
+    """Counts per distinct (optionally binned) score, sized for the scan."""
+    s = F.col(score) if bin_digits is None else F.round(F.col(score), bin_digits)
+    per = df.groupBy(s.alias("threshold")).agg(
+        count_if(F.col(y) == 1).alias("pos"), count_if(F.col(y) == 0).alias("neg"))
+    per = per.withColumn("_neg_t", -F.col("threshold"))
+    n_buckets = buckets_for_rows(per.count())
+    return quantile_buckets(per, "_neg_t", n_buckets, out="_bucket"), n_buckets
+
+
+def roc_points(df: DataFrame, score: str, y: str, bin_digits: int | None = None) -> DataFrame:
     """AGG8: (threshold, fpr, tpr) for every distinct score, descending, plus
     the (0, 0) origin with a NULL threshold.
 
     Rows are first pre-aggregated by distinct score (partial aggregation), then
     the cumulative counts come from a bucketed two-level scan instead of one
-    global window.
+    global window; the bucket count grows with the number of distinct scores
+    (about 10^6 per bucket).  ``bin_digits`` rounds scores first (scale mode:
+    at most 10^digits points).
     """
-    per = df.groupBy(F.col(score).alias("threshold")).agg(
-        count_if(F.col(y) == 1).alias("pos"), count_if(F.col(y) == 0).alias("neg"))
-    per = per.withColumn("_neg_t", -F.col("threshold"))
-    per = quantile_buckets(per, "_neg_t", n_buckets, out="_bucket")
-    cum = prefix_sums(per, ["_neg_t"], ["pos", "neg"], "_bucket")
+    per, nb = _score_table(df, score, y, bin_digits)
+    cum = prefix_sums(per, ["_neg_t"], ["pos", "neg"], "_bucket", n_offsets=nb)
     totals = df.agg(count_if(F.col(y) == 1).alias("P"), count_if(F.col(y) == 0).alias("N")) \
         .withColumn("_k", F.lit(1))
     pts = cum.withColumn("_k", F.lit(1)).join(F.broadcast(totals), "_k").select(
@@ -151,14 +162,11 @@ def roc_points(df: DataFrame, score: str, y: str, n_buckets: int = 64) -> DataFr
     return pts.unionByName(origin)
 
 
-def auc(df: DataFrame, score: str, y: str, n_buckets: int = 64) -> DataFrame:
+def auc(df: DataFrame, score: str, y: str, bin_digits: int | None = None) -> DataFrame:
     """AGG9: trapezoid area under the ROC.  Equivalent to
     sum_s neg_s * (pos_above_s + pos_s / 2) / (P * N) (ties averaged)."""
-    per = df.groupBy(F.col(score).alias("threshold")).agg(
-        count_if(F.col(y) == 1).alias("pos"), count_if(F.col(y) == 0).alias("neg"))
-    per = per.withColumn("_neg_t", -F.col("threshold"))
-    per = quantile_buckets(per, "_neg_t", n_buckets, out="_bucket")
-    cum = prefix_sums(per, ["_neg_t"], ["pos"], "_bucket")
+    per, nb = _score_table(df, score, y, bin_digits)
+    cum = prefix_sums(per, ["_neg_t"], ["pos"], "_bucket", n_offsets=nb)
     area = cum.agg(
         F.sum(F.col("neg").cast("double") * ((F.col("cum_pos") - F.col("pos")).cast("double")
                                              + F.col("pos") / F.lit(2.0))).alias("_a"),
@@ -172,8 +180,9 @@ def metric_history(scored: DataFrame, tag: str = "tag", actual: str = "y_any",
                    seq: str = "flow_id") -> DataFrame:
     """STR6 (batch form): running TPR/FPR per layer after each counted sample,
     in ``seq`` order, emitted once all four counters of the layer are
-    non-zero.  ``seq`` is an md5-hex key, so a 2-digit prefix gives 256
-    balanced scan buckets."""
+    non-zero.  ``seq`` is an md5-hex key, so hash prefixes give balanced scan
+    buckets; the prefix length grows with the row count (about 10^6 rows per
+    bucket)."""
     t, a = F.col(tag), F.col(actual)
     l1 = scored.where(a.isNotNull()).select(
         F.lit(1).alias("layer"), F.col(seq).alias("seq"),
@@ -187,8 +196,10 @@ def metric_history(scored: DataFrame, tag: str = "tag", actual: str = "y_any",
         ((t == "L2_ANOMALY") & (a == 0)).cast("int").alias("fp"),
         ((t == "NOT_ANOMALY2") & (a == 0)).cast("int").alias("tn"),
         ((t == "NOT_ANOMALY2") & (a == 1)).cast("int").alias("fn"))
-    both = l1.unionByName(l2).withColumn("_bucket", hash_prefix_bucket("seq", 2))
-    cum = prefix_sums(both, ["seq"], ["tp", "fp", "tn", "fn"], "_bucket", ["layer"])
+    digits = digits_for_rows(scored.count())
+    both = l1.unionByName(l2).withColumn("_bucket", hash_prefix_bucket("seq", digits))
+    cum = prefix_sums(both, ["seq"], ["tp", "fp", "tn", "fn"], "_bucket", ["layer"],
+                      n_offsets=2 * 16 ** digits)
     ctp, cfp, ctn, cfn = (F.col(f"cum_{c}") for c in ("tp", "fp", "tn", "fn"))
     ready = (ctp > 0) & (cfp > 0) & (ctn > 0) & (cfn > 0)
     return cum.where(ready).select(

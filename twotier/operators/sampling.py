@@ -6,6 +6,8 @@ layouts and task retries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,13 @@ def stratified_split(df: DataFrame, by: str = "attack_class", key: str = "flow_i
     size the hash-prefix histogram.
     """
     x = _hash(df, key, seed)
-    counts = x.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    k = counts.select(by, F.floor(F.lit(frac) * F.col("n")).cast("bigint").alias("k"))
-    n_max = counts.agg(F.max("n")).first()[0] or 0
+    spark = df.sparkSession
+    # per-class sizes: one small aggregate, bounded by the number of classes
+    counts = x.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()
+    by_type = x.schema[by].dataType.simpleString()
+    k = spark.createDataFrame([(r[by], int(math.floor(frac * r["n"]))) for r in counts],
+                              f"{by} {by_type}, k long")
+    n_max = max((r["n"] for r in counts), default=0)
     flagged = rank_flag(x, [by], "_h", k, "_valid", digits=prefix_digits_for(n_max))
     return flagged.withColumn(
         out, F.when(F.col("_valid") == 1, F.lit("valid")).otherwise(F.lit("train"))).drop("_h", "_valid")
@@ -57,10 +63,11 @@ def undersample(df: DataFrame, y: str, key: str = "flow_id", seed: int = 42) ->
     """SPL3: keep every minority row and the ``n_minority`` majority rows with
     the smallest ``md5(seed:key)``.  k per class = min class count."""
     x = _hash(df, key, seed)
-    counts = x.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    mins = counts.agg(F.min("n").alias("m"), F.max("n").alias("mx")).first()
-    m, mx = (mins["m"] or 0), (mins["mx"] or 0)
-    k = counts.select(y, F.least(F.col("n"), F.lit(m)).cast("bigint").alias("k"))
+    counts = x.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    m = min((r["n"] for r in counts), default=0)
+    mx = max((r["n"] for r in counts), default=0)
+    y_type = x.schema[y].dataType.simpleString()
+    k = df.sparkSession.createDataFrame([(r[y], min(int(r["n"]), m)) for r in counts], f"{y} {y_type}, k long")
     flagged = rank_flag(x, [y], "_h", k, "_keep", digits=prefix_digits_for(mx))
     return flagged.where(F.col("_keep") == 1).drop("_h", "_keep")
 

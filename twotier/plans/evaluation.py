@@ -335,3 +335,34 @@ select 'flows' as dataset, 13 as n_columns,
 def dataset_profile(spark, sf_dir):
     """AGG15 / AGG16."""
     return mt.dataset_profile(flows(spark, sf_dir), "flows")
+
+
+@query("labelled_scores", """
+select d.lang, cast(sum(case when l.quality = 0 and d.n_chars < 2000 then 1 else 0 end) as bigint) as tn,
+       cast(sum(case when l.quality = 0 and d.n_chars >= 2000 then 1 else 0 end) as bigint) as fp,
+       cast(sum(case when l.quality = 1 and d.n_chars < 2000 then 1 else 0 end) as bigint) as fn,
+       cast(sum(case when l.quality = 1 and d.n_chars >= 2000 then 1 else 0 end) as bigint) as tp
+from documents d join labels l on d.doc_id = l.doc_id group by d.lang""")
+def labelled_scores(spark, sf_dir):
+    """AGG3 on a non-flow table: document quality labels against a length
+    rule (n_chars >= 2000), per language.  The label table covers only some
+    documents: an inner equi-join, planned by size (AQE)."""
+    from ..sources.flows import load_table
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id").withColumn("pred", (F.col("n_chars") >= 2000).cast("int"))
+    return mt.confusion(j, "quality", "pred", by=["lang"])
+
+
+@query("labelled_mcc", f"""
+select lang, tn, fp, fn, tp, {mcc_sql()} as mcc, {rates_sql()}
+from (select d.lang, {confusion_sql('l.toxic', "cast(d.source = 'forum' as integer)")}
+      from documents d join labels l on d.doc_id = l.doc_id group by d.lang) c""")
+def labelled_mcc(spark, sf_dir):
+    """AGG4 + AGG5 on documents: toxicity labels against a source rule."""
+    from ..sources.flows import load_table
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    lab = load_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = d.join(lab, "doc_id").withColumn("pred", (F.col("source") == "forum").cast("int"))
+    conf = mt.confusion(j, "toxic", "pred", by=["lang"])
+    return mt.rates(mt.with_mcc(conf), keep=["lang", "mcc"])
