@@ -58,3 +58,15 @@ def test_kth_smallest_value_refines(spark):
         assert kth_smallest_value(df, "x", k, n_buckets=16, max_rank_rows=300) == s[k - 1]
     assert kth_smallest_value(df, "x", len(vals) + 1) is None
     assert math.isfinite(s[0]) and F is not None
+
+
+def test_kth_hash_by_group_with_refinement(spark):
+    from twotier.functions.scan import first_k_flag, kth_hash_by_group
+    df = _frame(spark, n=3000, groups=3)
+    kth = kth_hash_by_group(df, "g", "h", lambda n: n // 3, digits=1, max_rank_rows=50)
+    got = {r["key"] for r in df.where(first_k_flag("h", "g", kth) == 1).collect()}
+    want = set()
+    for gi in range(3):
+        keys = sorted((hashlib.md5(f"7:k{i}".encode()).hexdigest(), f"k{i}") for i in range(3000) if i % 3 == gi)
+        want |= {r for _, r in keys[:len(keys) // 3]}
+    assert got == want

@@ -190,3 +190,99 @@ def kth_smallest_value(df: DataFrame, col: str, k: int, n_buckets: int = 64,
     w = Window.orderBy("_v")
     row = cur.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == rest).first()
     return None if row is None else float(row["_v"])
+
+
+MAX_LOCAL_GROUPS = 1_000
+
+
+def hash_histogram(df: DataFrame, group_col: str, hash_col: str, digits: int = 3) -> dict:
+    """{group: [(prefix, count), ...]} collected from one aggregate; bounded
+    by groups x 16^digits rows."""
+    hist = df.groupBy(F.col(group_col).alias("_g"), hash_prefix_bucket(hash_col, digits).alias("_b")) \
+        .agg(F.count(F.lit(1)).alias("_n")).collect()
+    groups: dict = {}
+    for r in hist:
+        groups.setdefault(r["_g"], []).append((r["_b"], r["_n"]))
+    if len(groups) > MAX_LOCAL_GROUPS:
+        raise ValueError("too many groups for a driver-side histogram; use kth_hash")
+    return groups
+
+
+def kth_hash_by_group(df: DataFrame, group_col: str, hash_col: str, k_of_n, digits: int = 3,
+                      max_rank_rows: int = ROWS_PER_BUCKET, hist: dict | None = None) -> dict:
+    """Exact k-th smallest ``hash_col`` per group for a FEW groups (at most
+    ``MAX_LOCAL_GROUPS``), with ``k = k_of_n(group_size)``.
+
+    Pass 1 collects a (group, hash-prefix) histogram, bounded by
+    groups x 16^digits rows; it yields both the group sizes and the bucket
+    that holds each k-th row.  Pass 2 ranks only the rows of those edge
+    buckets (a longer prefix is tried first while an edge bucket is larger
+    than ``max_rank_rows``).  Returns {group: kth hash or None (k = 0)}.
+    """
+    x = df.select(F.col(group_col).alias("_g"), F.col(hash_col).alias("_h"))
+    groups = hist if hist is not None else hash_histogram(df, group_col, hash_col, digits)
+    targets = {}  # group -> (prefix, rank inside prefix)
+    result: dict = {}
+    for g, buckets in groups.items():
+        n = sum(c for _, c in buckets)
+        k = int(k_of_n(n))
+        if k <= 0:
+            result[g] = None
+            continue
+        k = min(k, n)
+        before = 0
+        for b, c in sorted(buckets):
+            if before + c >= k:
+                targets[g] = (b, k - before, c)
+                break
+            before += c
+    # refine any edge bucket that is still too large for one ranking task
+    for _ in range(4):
+        big = {g: t for g, t in targets.items() if t[2] > max_rank_rows}
+        if not big:
+            break
+        for g, (prefix, rest, _) in big.items():
+            plen = len(prefix) + 2
+            sub = (x.where((F.col("_g") == F.lit(g)) & F.col("_h").startswith(prefix))
+                   .groupBy(hash_prefix_bucket("_h", plen).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+                   .collect())
+            before = 0
+            for r in sorted(sub, key=lambda r: r["_b"]):
+                if before + r["_n"] >= rest:
+                    targets[g] = (r["_b"], rest - before, r["_n"])
+                    break
+                before += r["_n"]
+    if targets:
+        # cheap prefix test first (one hash per row); the (group, prefix)
+        # pairing is checked only on the few rows that pass it
+        by_len: dict = {}
+        for prefix, _, _ in targets.values():
+            by_len.setdefault(len(prefix), set()).add(prefix)
+        pre = None
+        for plen, prefixes in by_len.items():
+            c = F.substring("_h", 1, plen).isin(sorted(prefixes))
+            pre = c if pre is None else pre | c
+        cond = None
+        for g, (prefix, _, _) in targets.items():
+            c = (F.col("_g") == F.lit(g)) & F.col("_h").startswith(prefix)
+            cond = c if cond is None else cond | c
+        rank = Window.partitionBy("_g").orderBy("_h")
+        edge = x.where(pre).where(cond).withColumn("_r", F.row_number().over(rank))
+        want = F.lit(False)
+        for g, (_, rest, _) in targets.items():
+            want = want | ((F.col("_g") == F.lit(g)) & (F.col("_r") == F.lit(rest)))
+        for r in edge.where(want).collect():
+            result[r["_g"]] = r["_h"]
+    return result
+
+
+def first_k_flag(hash_col: str, group_col: str, kth: dict) -> Column:
+    """1 when the row's hash is within its group's first k (a literal CASE,
+    no join): rows of groups with k = 0 or unseen groups get 0."""
+    expr = None
+    for g, h in kth.items():
+        if h is None:
+            continue
+        c = (F.col(group_col) == F.lit(g)) & (F.col(hash_col) <= F.lit(h))
+        expr = c if expr is None else expr | c
+    return (expr if expr is not None else F.lit(False)).cast("int")

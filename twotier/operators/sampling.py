@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
-from ..functions.scan import prefix_digits_for, rank_flag
+from ..functions.scan import first_k_flag, hash_histogram, kth_hash_by_group
 from . import labels as lb
 
 
@@ -25,22 +25,16 @@ def stratified_split(df: DataFrame, by: str = "attack_class", key: str = "flow_i
     """SPL1: inside every class, the floor(frac * n) rows with the smallest
     ``md5(seed:key)`` go to ``valid``, the rest to ``train``.
 
-    Exact per-class cut without a window over whole classes (which would put
-    the largest class in one task): see ``functions.scan.kth_hash``.  Only the
-    per-class counts (bounded by the number of classes) reach the driver, to
-    size the hash-prefix histogram.
+    Exact, with no window over a whole class (which would put the largest
+    class in one task): a bounded (class, hash-prefix) histogram locates each
+    class's cut, only the edge buckets are ranked, and the split itself is a
+    narrow projection against per-class literal cut hashes.  Classes are few
+    (bounded by the taxonomy); see ``functions.scan.kth_hash_by_group``.
     """
     x = _hash(df, key, seed)
-    spark = df.sparkSession
-    # per-class sizes: one small aggregate, bounded by the number of classes
-    counts = x.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()
-    by_type = x.schema[by].dataType.simpleString()
-    k = spark.createDataFrame([(r[by], int(math.floor(frac * r["n"]))) for r in counts],
-                              f"{by} {by_type}, k long")
-    n_max = max((r["n"] for r in counts), default=0)
-    flagged = rank_flag(x, [by], "_h", k, "_valid", digits=prefix_digits_for(n_max))
-    return flagged.withColumn(
-        out, F.when(F.col("_valid") == 1, F.lit("valid")).otherwise(F.lit("train"))).drop("_h", "_valid")
+    kth = kth_hash_by_group(x, by, "_h", lambda n: math.floor(frac * n))
+    flag = first_k_flag("_h", by, kth)
+    return x.withColumn(out, F.when(flag == 1, F.lit("valid")).otherwise(F.lit("train"))).drop("_h")
 
 
 def hash_split(df: DataFrame, key: str = "flow_id", cut: str = "4ccc", seed: int = 42,
@@ -61,15 +55,13 @@ def random_split(df: DataFrame, frac: float = 0.2, key: str = "flow_id", seed: i
 
 def undersample(df: DataFrame, y: str, key: str = "flow_id", seed: int = 42) -> DataFrame:
     """SPL3: keep every minority row and the ``n_minority`` majority rows with
-    the smallest ``md5(seed:key)``.  k per class = min class count."""
+    the smallest ``md5(seed:key)`` (k per class = smallest class size), via the
+    same bounded histogram cut as ``stratified_split``."""
     x = _hash(df, key, seed)
-    counts = x.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
-    m = min((r["n"] for r in counts), default=0)
-    mx = max((r["n"] for r in counts), default=0)
-    y_type = x.schema[y].dataType.simpleString()
-    k = df.sparkSession.createDataFrame([(r[y], min(int(r["n"]), m)) for r in counts], f"{y} {y_type}, k long")
-    flagged = rank_flag(x, [y], "_h", k, "_keep", digits=prefix_digits_for(mx))
-    return flagged.where(F.col("_keep") == 1).drop("_h", "_keep")
+    hist = hash_histogram(x, y, "_h")
+    m = min((sum(c for _, c in b) for b in hist.values()), default=0)
+    kth = kth_hash_by_group(x, y, "_h", lambda n: min(n, m), hist=hist)
+    return x.where(first_k_flag("_h", y, kth) == 1).drop("_h")
 
 
 def failure_scenario(df: DataFrame, name: str, by: str = "attack_class", key: str = "flow_id",
