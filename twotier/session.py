@@ -38,18 +38,31 @@ def get_spark(master: str | None = None, app: str = "twotier") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    """Return the shared checkpoint folder; set a private one only if unset.
+
+    Reads ``spark.checkpoint.dir`` from the session (classic or Connect); the
+    SparkContext route is used only where the session exposes it.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="twotier-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:
+            pass
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    return conf_dir
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

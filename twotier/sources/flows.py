@@ -51,8 +51,12 @@ def ensure_parallelism(df: DataFrame, keys: list[str], target: int | None = None
     over the cluster by hashing the row key.  A large input already has at
     least ``defaultParallelism`` scan partitions and is returned unchanged,
     so no shuffle is added at scale."""
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = target or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (Spark Connect): leave the plan to AQE
+        return df
+    if n >= target:
         return df
     return df.repartition(target, *keys)
 
