@@ -114,3 +114,30 @@ def test_staleness_missing_timestamp_not_stale(spark):
     assert out == [False, False]
     out = [r["stale"] for r in rel.is_stale(df, "ts", "2024-01-01 03:00:01").orderBy("ts").collect()]
     assert out == [False, True]
+
+
+def test_row_index_follows_file_order(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "v string").coalesce(1)
+    rows = rel.with_row_index(df).collect()
+    assert [(r["v"], r["row_id"]) for r in rows] == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_check_aligned_raises_on_missing_key(spark):
+    a = spark.createDataFrame([(1,), (2,)], "k int")
+    b = spark.createDataFrame([(1,)], "k int")
+    with pytest.raises(ValueError):
+        rel.check_aligned(a, b, "k")
+
+
+def test_profile_changed(spark):
+    a = spark.createDataFrame([(1, "x")], "a int, b string")
+    b = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
+    old = mt.dataset_profile(a, "train")
+    same = mt.profile_changed(old, mt.dataset_profile(a, "train")).first()["changed"]
+    grown = mt.profile_changed(old, mt.dataset_profile(b, "train")).first()["changed"]
+    assert same == 0 and grown == 1
+
+
+def test_onehot_categories_sorted(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    assert fe.fit_onehot(df, ["c"]).categories == {"c": ["a", "b"]}

@@ -77,14 +77,12 @@ class OneHot:
 
 
 def fit_onehot(df: DataFrame, cols: list[str]) -> OneHot:
-    """FEA2 fit: sorted distinct categories per column.  The distinct sets are
-    de-duplicated on the executors (partial aggregation); only the category
-    lists (bounded by column cardinality) reach the driver."""
-    cats: dict[str, list[str]] = {}
-    for c in cols:
-        vals = df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()
-        cats[c] = [r[0] for r in vals]
-    return OneHot(cats)
+    """FEA2 fit: sorted distinct categories of every column in ONE aggregate.
+    ``collect_set`` de-duplicates map-side; each set is bounded by the
+    column's cardinality (categorical fields), which is all that reaches the
+    driver."""
+    row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
+    return OneHot({c: list(row[c] or []) for c in cols})
 
 
 # --------------------------------------------------------------------------- z-score
