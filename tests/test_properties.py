@@ -116,3 +116,23 @@ def test_rf_trials_one_row_per_trial(spark, sf_dir):
 def test_pca_2d_by_class_covers_rows(spark, sf_dir):
     rows = Q["pca_2d_by_class"](spark, sf_dir).collect()
     assert sum(r["n"] for r in rows) == labelled_flows(spark, sf_dir).count()
+
+
+def test_stream_snapshot_messages_parse_and_agree(spark, sf_dir):
+    from twotier.operators import control as ctl
+    from twotier.session import shared_path
+    from twotier.streaming import detection as sd
+    src = sd.land_flow_files(spark, sf_dir, n_files=2)
+    out = shared_path(spark, "snaps-test")
+    sd.run_detection(spark, src, out, shared_path(spark, "ckpt-test"))
+    msgs = spark.read.parquet(f"{out}_messages")
+    last = msgs.agg(F.max("batch_id")).first()[0]
+    acc, rej = ctl.parse_snapshot(msgs.where(F.col("batch_id") == last), keep=["epoch"])
+    assert rej.count() == 0
+    m = acc.first()
+    snap = {r["layer"]: r for r in sd.latest_snapshot(spark, out).collect()}
+    assert m["metrics_1"]["accuracy"] == snap[1]["accuracy"]
+    assert m["metrics_2"]["fscore"] == snap[2]["fscore"]
+    ratios = m["classification_metrics"]
+    total = sum(ratios[k] for k in ("normal_ratio", "l1_anomaly_ratio", "l2_anomaly_ratio", "quarantined_ratio"))
+    assert total == pytest.approx(1.0, abs=1e-5)
