@@ -141,3 +141,29 @@ def test_profile_changed(spark):
 def test_onehot_categories_sorted(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
     assert fe.fit_onehot(df, ["c"]).categories == {"c": ["a", "b"]}
+
+
+def test_single_class_naive_bayes_predicts_that_class(spark):
+    from twotier.models.naive_bayes import fit_gaussian_nb
+    df = spark.createDataFrame([(0.1, 0), (0.3, 0), (0.2, 0)], "x double, y int")
+    nb = fit_gaussian_nb(df, ["x"], "y")
+    r = df.select(nb.proba(1).alias("p"), (nb.decision() > 0).cast("int").alias("d")).first()
+    assert r["p"] == 0.0 and r["d"] == 0
+
+
+def test_decision_sign_matches_probability(spark):
+    from twotier.models.naive_bayes import fit_gaussian_nb
+    rows = [(float(i % 7), float(i % 3), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    nb = fit_gaussian_nb(df, ["a", "b"], "y", 1e-3)
+    out = df.select((nb.proba(1) > 0.5).alias("p"), (nb.decision() > 0).alias("d")).collect()
+    assert all(r["p"] == r["d"] for r in out)
+
+
+def test_tiny_class_gets_no_validation_rows(spark):
+    from twotier.operators import sampling as sp
+    rows = [(f"k{i}", "big") for i in range(40)] + [("lonely", "tiny")]
+    df = spark.createDataFrame(rows, "flow_id string, attack_class string")
+    out = {r["flow_id"]: r["split"] for r in sp.stratified_split(df).collect()}
+    assert out["lonely"] == "train"
+    assert sum(1 for k, v in out.items() if v == "valid") == 12  # floor(0.3 * 40)

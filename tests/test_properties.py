@@ -136,3 +136,12 @@ def test_stream_snapshot_messages_parse_and_agree(spark, sf_dir):
     ratios = m["classification_metrics"]
     total = sum(ratios[k] for k in ("normal_ratio", "l1_anomaly_ratio", "l2_anomaly_ratio", "quarantined_ratio"))
     assert total == pytest.approx(1.0, abs=1e-5)
+
+
+def test_nb_cascade_independent_of_partitioning(spark, sf_dir):
+    from twotier.plans import learning as L
+    (mm1, nb1), (mm2, nb2), test = L.fit_layer_models(spark, sf_dir)
+    a = {r["flow_id"]: r["p1"] for r in L.score_layer(test, mm1, nb1, "p1").select("flow_id", "p1").collect()}
+    b = {r["flow_id"]: r["p1"] for r in
+         L.score_layer(test.repartition(5), mm1, nb1, "p1").select("flow_id", "p1").collect()}
+    assert a == b

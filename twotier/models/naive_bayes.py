@@ -73,6 +73,8 @@ class GaussianNB:
         C + sum_f x_f * (b_f + a_f * x_f): the same value as the difference of
         the joint log-likelihoods, a fraction of the expression size (p > 0.5
         exactly when it is > 0)."""
+        if 1 not in self.counts or 0 not in self.counts:  # single-class training data
+            return F.lit(1.0 if 1 in self.counts else -1.0)
         eps = self.epsilon
         total = sum(self.counts.values())
         const = math.log(self.counts[1] / total) - math.log(self.counts[0] / total)
