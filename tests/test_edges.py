@@ -167,3 +167,24 @@ def test_tiny_class_gets_no_validation_rows(spark):
     out = {r["flow_id"]: r["split"] for r in sp.stratified_split(df).collect()}
     assert out["lonely"] == "train"
     assert sum(1 for k, v in out.items() if v == "valid") == 12  # floor(0.3 * 40)
+
+
+def test_conditional_trial_parameters(spark):
+    from twotier.operators import tuning as tu
+    space = {
+        "kernel": tu.CatParam(("poly", "rbf", "sigmoid")),
+        "C": tu.FloatParam(1e-10, 1e10),
+        "gamma": tu.When(tu.FloatParam(1e-10, 1e10, log=True), "kernel", ("rbf",)),
+        "degree": tu.When(tu.IntParam(2, 5), "kernel", ("poly", "sigmoid")),
+    }
+    rows = tu.sample_trials(spark, space, 60, seed=7).collect()
+    again = tu.sample_trials(spark, space, 60, seed=7).collect()
+    assert rows == again  # deterministic draws
+    for r in rows:
+        assert (r["gamma"] is not None) == (r["kernel"] == "rbf")
+        assert (r["degree"] is not None) == (r["kernel"] != "rbf")
+        if r["degree"] is not None:
+            assert 2 <= r["degree"] <= 5
+        if r["gamma"] is not None:
+            assert 1e-10 <= r["gamma"] <= 1e10
+    assert {r["kernel"] for r in rows} == {"poly", "rbf", "sigmoid"}
