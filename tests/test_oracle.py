@@ -30,7 +30,7 @@ def _rows(cols, rows):
 
 def test_every_query_has_a_callable():
     assert set(SQL) <= set(QUERIES)
-    assert len(QUERIES) >= 80
+    assert len(QUERIES) >= 90
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -301,3 +301,44 @@ def adaptation_report(spark, sf_dir):
     after = nb_scored(spark, sf_dir)
     return _segments(before, train_labels, "before").unionByName(_segments(after, train_labels, "after")) \
         .select("phase", "segment", "total", "detected", "ratio")
+
+
+def _icfs_layer_sql(layer: int) -> str:
+    base = _icfs_sql()
+    return base.replace("having count(distinct test) = 2",
+                        f"having count(distinct test) = 2 and layer = {layer}")
+
+
+def _icfs_layer(layer: int):
+    def run(spark, sf_dir):
+        """FEA7 for one layer: features passing both of the layer's tests."""
+        train, _ = split_frames(spark, sf_dir)
+        sel = fe.select_features_icfs(train, NUM)
+        return sel.where(F.col("layer") == layer).select("layer", "feature")
+    return run
+
+
+query("icfs_l1", _icfs_layer_sql(1))(_icfs_layer(1))
+query("icfs_l2", _icfs_layer_sql(2))(_icfs_layer(2))
+
+
+def _icfs_corr_sql() -> str:
+    tests = []
+    for name, (pop, pos, _thr, _layer) in fe.ICFS_TESTS.items():
+        where = f"{TRAIN}" + (f" and label in ({', '.join(repr(p) for p in pop)})" if pop else "")
+        ycol = f"cast(label in ({', '.join(repr(p) for p in pos)}) as double)"
+        for f in NUM:
+            tests.append(
+                f"select '{name}' as test, '{f}' as feature, "
+                f"round(covar_pop({f}, {ycol}) / nullif(stddev_pop({f}) * stddev_pop({ycol}), 0), 6) as r "
+                f"from lf where {where}")
+    return with_base(" union all ".join(tests))
+
+
+@query("icfs_correlations", _icfs_corr_sql())
+def icfs_correlations(spark, sf_dir):
+    """AGG13 inside FEA7: the four one-vs-rest correlation tests for every
+    numeric feature, computed in one fused aggregate (NULL for a constant
+    feature)."""
+    train, _ = split_frames(spark, sf_dir)
+    return fe.icfs_correlations(train, NUM).withColumn("r", r6("r"))
