@@ -18,60 +18,91 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, map_rows, read, shuffle_partitions
+from .common import kept, map_rows, per_worker, read, shuffle_partitions
 
 QUERY = "op5_best_fit_packing"
 CAPACITY = 2048
 SEPARATOR = 0
-MEMO = 400_000
+MEMO = 600_000
 LINE = 200
-#: White space between which a text may be tokenized piece by piece: the tokenizer
-#: drops it, and neither its normalizer nor its patterns reach across.
-_GAPS = str.maketrans("\t\n\r", "   ")
-#: A full stop or comma after a letter and before a gap is a token of its own.
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?= |\Z)")
+#: Texts whose new chunks are learned together, in alphabetical order, which is faster.
+TEXTS = 1000
+#: Lower-case Latin-1 letters.  A word of them is one token sequence of its own: neither
+#: the tokenizer's normalizer nor its patterns change or cut it.
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+#: A full stop or comma before a gap that does not follow a letter.
+_ODD_STOP = re.compile(f"[.,](?= )(?<=[^{_LETTERS}].)")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class Ids:
-    """Token ids of a text as little-endian 32-bit bytes, with a memo of the ids of
-    what stands between two gaps."""
+    """Token ids of a text as little-endian 32-bit bytes.
+
+    A text is tokenized between its spaces, tabs and line ends, with a memo: the tokenizer
+    drops these, and neither its normalizer nor its patterns reach across.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole = Tokenizer.from_file(path)
+        # for plain words only: the model alone, on words in the letters that stand for bytes
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x100)}
+        vocabulary = self.whole.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def chunks(text: str | None) -> list[str]:
-        """A text between its gaps.  Latin-1 text is lower-cased first, as the tokenizer
-        would do it, so that the memo has fewer entries."""
-        text = (text or "").translate(_GAPS)
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        return _STOP.sub(r" \1", text).split(" ")
+        """A text between its gaps.  Latin-1 text is lower-cased, as the tokenizer would do
+        it, and its full stops and commas after words stand alone, as they are tokens."""
+        text = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(" ")
+        text = text.lower() + " "
+        if not _ODD_STOP.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that the memo lacks, many to a line, and tells them apart by
-        the places of their tokens in the line."""
-        lines = [chunks[at:at + LINE] for at in range(0, len(chunks), LINE)]
-        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+        """Encodes chunks many to a line.  Plain words end with a token that ends a word;
+        others are told apart by the places of their tokens in the line."""
+        plain = list(filter(_PLAIN.fullmatch, chunks))
+        lines = self._lines(plain)
+        texts = [text if text.isascii() else text.translate(self.as_bytes) for _, text in lines]
+        for (line, _), found in zip(lines, self.plain.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            self._keep(line, ids, [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()])
+        for line, text in self._lines(sorted(set(chunks).difference(plain))):
+            found = self.whole.encode(text, add_special_tokens=False)
             starts = np.cumsum([0, *(len(c) + 1 for c in line[:-1])])
-            cuts = [*np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts).tolist(), len(found.ids)]
-            data = np.array(found.ids, "<u4").tobytes()
-            self.memo.update((c, data[4 * a:4 * b]) for c, a, b in zip(line, cuts, cuts[1:]))
+            cuts = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
+            self._keep(line, np.array(found.ids, "<u4"), [*cuts.tolist(), len(found.ids)])
+
+    @staticmethod
+    def _lines(chunks: list[str]) -> list[tuple[list[str], str]]:
+        lines = [chunks[at:at + LINE] for at in range(0, len(chunks), LINE)]
+        return [(line, " ".join(line)) for line in lines]
+
+    def _keep(self, line: list[str], ids: np.ndarray, cuts: list[int]) -> None:
+        data = ids.tobytes()
+        self.memo.update({c: data[4 * a:4 * b] for c, a, b in zip(line, cuts[:-1], cuts[1:], strict=True)})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
         if len(self.memo) > MEMO:  # only a memo: nothing depends on what it holds
             self.memo = {"": b""}
-        memo = self.memo
-        self._learn(sorted({c for chunks in split for c in chunks if c not in memo}))
-        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+        self._learn(sorted(set().union(*split).difference(self.memo)))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -82,13 +113,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     def make():
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = Ids(path)
+        ids = per_worker(f"ids {path}", lambda: Ids(path))
         end = np.array([SEPARATOR], "<u4").tobytes()
 
         def work(doc_ids, texts):
             out = []
-            for at in range(0, len(texts), 200):
-                for doc_id, data in zip(doc_ids[at:at + 200], ids.encode(texts[at:at + 200])):
+            for at in range(0, len(texts), TEXTS):
+                for doc_id, data in zip(doc_ids[at:at + TEXTS], ids.encode(texts[at:at + TEXTS])):
                     data += end
                     for n, start in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[start:start + 4 * capacity]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -81,6 +82,15 @@ def row_udf(spark: SparkSession, make: Callable[[], Callable], returns: str) ->
     return F.arrow_udf(run, returns)
 
 
+def per_worker(name: str, make: Callable):
+    """An object that a Python worker keeps from task to task: a memo or a loaded file,
+    never anything that results depend on."""
+    held = sys.__dict__.setdefault("_twotier_held", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def spans_of(kinds: list[str], column: str = "spans") -> Column:
     """The spans of some kinds."""
     return F.filter(column, lambda s: s["kind"].isin(kinds))
