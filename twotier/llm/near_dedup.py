@@ -1,34 +1,42 @@
 """MinHash near-duplicates with odd sketches.
 
-Each shingle set gets 128 MinHash values.  Bands of four of them find the
+Each shingle set gets 512 MinHash values.  Bands of four of the first 128 find the
 candidate pairs (a pair of similarity 0.75 shares no band with probability
-5e-6); an odd sketch, the parity bitmap of the same values, rejects candidates
-whose estimated similarity is far below the threshold; the others are confirmed
-on their full shingle sets.
+5e-6); an odd sketch, the parity bitmap of all values, rejects candidates whose
+estimated similarity is well below the threshold; the others are confirmed on
+their full shingle sets.
 
 Large groups never become all their pairs.  Equal sets are one class from the
 start.  In each band bucket every member is first compared with the smallest
 one; buckets whose members are then still in different components compare the
 minority with a pivot of the largest component; only what is open after that is
-compared pair by pair, and only across components and past the sketch.
+compared pair by pair, in blocks of bounded size inside the tasks, across components
+only, past the sketch and each pair once: a task puts out links, never the pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, map_rows, read
+from .common import kept, map_rows, read, shuffle_partitions
 from .words import MinHash, jaccard_counts, mix, shingle_set
 
 QUERY = "op9_near_dedup"
 BANDS = 32
 BAND_ROWS = 4
-SKETCH_BITS = 512
+SAMPLES = 512
+SKETCH_BITS = 1024
 #: A pair goes on to the exact check if its sketch estimates a similarity of the
-#: threshold less this: five standard deviations of the estimate.
-SKETCH_SLACK = 0.2
+#: threshold less this: about five standard deviations of the estimate.
+SKETCH_SLACK = 0.11
+
+#: Members of a bucket that one task compares with as many others at a time.
+BLOCK = 512
 
 SIGNATURES = ("doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, "
               + ", ".join(f"s{i} bigint" for i in range(SKETCH_BITS // 64)))
@@ -51,7 +59,7 @@ def odd_sketch(signature: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(np.bincount(bit.astype(np.int64), minlength=bits) & 1).view(np.uint64)
 
 
-def sketch_similarity(differing_bits: Column, bits: int = SKETCH_BITS, samples: int = BANDS * BAND_ROWS) -> Column:
+def sketch_similarity(differing_bits: Column, bits: int = SKETCH_BITS, samples: int = SAMPLES) -> Column:
     """Similarity estimated from the population count of the XOR of two sketches:
     d differing bits come from about -bits/2 * ln(1 - 2d/bits) differing samples."""
     odd = F.greatest(F.lit(1e-9), 1 - 2 * differing_bits / F.lit(float(bits)))
@@ -70,7 +78,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, set size, set key, band keys and odd sketch of each text; keys and
     bands are null for a text without words or with a null id."""
     def make():
-        family = MinHash(BANDS * BAND_ROWS)
+        family = MinHash(SAMPLES)
 
         def work(ids, texts):
             rows = []
@@ -80,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     rows.append((i, len(s), None, None, None, *[None] * len(SKETCH)))
                     continue
                 sig = family.signature(s)
-                rows.append((i, len(s), *set_keys(s), band_keys(sig).view(np.int64),
+                rows.append((i, len(s), *set_keys(s), band_keys(sig[:BANDS * BAND_ROWS]).view(np.int64),
                              *odd_sketch(sig).view(np.int64).tolist()))
             return list(zip(*rows)) if rows else [[]]
         return work
@@ -145,7 +153,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         *[F.first(s).alias(s) for s in SKETCH]), "classes")
     sketches = classes.select("cid", "n", *SKETCH)
 
-    banded = classes.select("cid", F.explode("bands").alias("band"))
+    banded = classes.select("cid", F.posexplode("bands").alias("pos", "band"))
     buckets = banded.groupBy("band").agg(F.min("cid").alias("rep"), F.count("*").alias("members")).where("members > 1")
     members = kept(banded.join(buckets, "band"), "members")
     wanted = members.select(F.col("cid").alias("doc_id")).distinct()
@@ -153,24 +161,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
                  .join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "cid"), "texts")
 
     edges = [_shared_ids(sigs, classes)]
-    tested = []
 
-    def confirm(pairs: DataFrame) -> DataFrame | None:
-        """Labels after the links among ``pairs`` (a, b) are added to the edges."""
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = kept(_likely(pairs, sketches, percent), "pairs")
-        tested.append(pairs)
-        edges.append(kept(verified(pairs, texts, percent), "links"))
+    def labelled(links: DataFrame) -> DataFrame:
+        edges.append(kept(links, "links"))
         out = edges[0]
         for more in edges[1:]:
             out = out.union(more)
         return kept(components(out), "labels")
 
-    labels = confirm(members.where("cid != rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
-    labels = confirm(_pivot_pairs(_open_members(members, labels)))
-    labels = confirm(_cross_pairs(_open_members(members, labels), sketches, percent))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return verified(kept(_likely(pairs, sketches, percent), "pairs"), texts, percent)
+
+    labels = labelled(confirmed(members.where("cid != rep").select(F.col("cid").alias("a"), F.col("rep").alias("b"))))
+    labels = labelled(confirmed(_pivot_pairs(_open_members(members, labels))))
+    labels = labelled(_cross_links(_open_members(members, labels), classes, texts, percent))
 
     named = classes.select("k1", "k2", "cid").join(labels, F.col("cid") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("label", "cid").alias("component_id"))
@@ -207,7 +212,7 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets of three or more that still hold several components
     (a bucket of two has had its only pair tested)."""
     named = members.where("members > 2").join(labels, F.col("cid") == F.col("node"), "left").select(
-        "band", "cid", F.coalesce("label", "cid").alias("label"))
+        "band", "pos", "members", "cid", F.coalesce("label", "cid").alias("label"))
     several = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
     return kept(named.join(several.select("band"), "band", "left_semi"), "open")
 
@@ -222,13 +227,88 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
             .select(F.col("cid").alias("a"), F.col("top.pivot").alias("b")))
 
 
-def _cross_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a bucket that is in two components and passes the sketch."""
-    full = members.join(sketches, "cid")
-    x, y = full.alias("x"), full.alias("y")
-    return (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.cid") > F.col("y.cid"))
-                   & (F.col("x.label") != F.col("y.label")) & _sketch_passes("x", "y", percent))
-            .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+def _cross_links(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The links between members of a bucket that are in two components.  A first pass
+    over sketches finds the members that may have one, a second one over their texts
+    confirms it."""
+    full = members.join(classes.select("cid", "n", "bands", *SKETCH), "cid")
+    maybe = kept(_blocks(full, percent, confirm=False), "maybe").distinct()
+    near = full.join(maybe.select(F.col("a").alias("cid"), F.col("b").alias("band")), ["cid", "band"], "left_semi")
+    return _blocks(near.join(texts, "cid"), percent, confirm=True)
+
+
+def _blocks(members: DataFrame, percent: int, confirm: bool) -> DataFrame:
+    """Compares the members of each bucket across components, each pair of blocks in a
+    group of its own.  Gives links (a, b) with ``confirm``, else (member, bucket) of the
+    members that have a likely partner."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select(
+        "band", "low", "high", "own", "pos", "cid", "label", "n", "bands", *SKETCH, *(["text"] if confirm else []))
+    cut = percent / 100 - SKETCH_SLACK
+    schema = members.sparkSession.createDataFrame([], "a bigint, b bigint").schema
+
+    def compare(group: pa.Table) -> list[tuple[int, int]]:
+        col = {c: group.column(c).to_numpy() for c in ("cid", "label", "n", "own")}
+        band, pos = group.column("band")[0].as_py(), group.column("pos")[0].as_py()
+        mixed = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        sketch = np.column_stack([group.column(s).to_numpy() for s in SKETCH]).view(np.uint64)
+        bands = np.array(group.column("bands").combine_chunks().flatten()).reshape(len(sketch), -1)
+        sets, out = {}, []
+        for i in range(len(sketch) - 1):
+            rest = slice(i + 1, None)
+            ok = col["label"][rest] != col["label"][i]
+            if mixed:
+                ok &= col["own"][rest] != col["own"][i]
+            ok &= 100 * np.minimum(col["n"][rest], col["n"][i]) >= percent * np.maximum(col["n"][rest], col["n"][i])
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                bits = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1)
+                odd = np.maximum(1e-9, 1 - 2 * bits / SKETCH_BITS)
+                at = at[1 + np.log(odd) * (SKETCH_BITS / (4.0 * SAMPLES)) >= cut]
+            if len(at) and pos:  # a pair belongs to the first band that it shares
+                at = at[~(bands[at, :pos] == bands[i, :pos]).any(axis=1)]
+            for j in at.tolist():
+                if not confirm:
+                    out += [(int(col["cid"][i]), band), (int(col["cid"][j]), band)]
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingle_set(group.column("text")[k].as_py())
+                both, union = jaccard_counts(sets[i], sets[j])
+                if union and 100 * both >= percent * union:
+                    out.append((int(col["cid"][i]), int(col["cid"][j])))
+        return list(set(out))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["band", "low", "high"]):
+            found = compare(group) if group.num_rows > 1 else []
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]})
+
+    parts = shuffle_partitions(members.sparkSession)
+    return (rows.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high")
+            .mapInArrow(run, schema))
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows of equal ``keys`` in sorted batches; only the last run is held."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            change |= values[1:] != values[:-1]
+        start = 0
+        for end in (np.flatnonzero(change) + 1).tolist():
+            yield table.slice(start, end - start)
+            start = end
+        held = table.slice(start)
+    if held is not None and held.num_rows:
+        yield held
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _register() -> None:
     from . import (best_fit_packing, decontamination, fingerprints, html_extraction, language_id, near_dedup, pii,
-                   secrets, toxicity, url_filter)
-    for module in (language_id, html_extraction, decontamination, toxicity, best_fit_packing, secrets, url_filter, pii,
+                   secret_scan, toxicity, url_filter)
+    for module in (language_id, html_extraction, decontamination, toxicity, best_fit_packing, secret_scan, url_filter, pii,
                    near_dedup, fingerprints):
         QUERIES[module.QUERY] = module.query
         if getattr(module, "SQL", None):
