@@ -25,6 +25,8 @@ from .common import map_rows, read, shuffle_partitions
 QUERY = "op2_html_extraction"
 #: Shares in which the wrappers of one host are merged before they are merged into one.
 MERGE_SHARES = 16
+#: Shares of a host's pages that get their slots in different tasks.
+JOIN_SHARES = 32
 #: A task hands on its wrappers when it holds those of so many hosts.
 HOSTS_HELD = 2000
 LONGEST_GROUP = 4
@@ -405,8 +407,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
             return [ids, urls, out, [len(t) for t in out]]
         return work
 
-    # a host's slots are a few paths; Spark splits the partition of a frequent host
-    joined = pages.join(slots, F.col("host") == F.col("slot_host"), "left")
+    # a host's slots are a few paths: a copy for each share of its pages deals a frequent host out
+    slots = slots.withColumn("slot_share", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SHARES - 1))))
+    shared = pages.withColumn("share", F.pmod(F.xxhash64("page_id", "url"), F.lit(JOIN_SHARES)))
+    joined = shared.join(slots, (F.col("host") == F.col("slot_host")) & (F.col("share") == F.col("slot_share")), "left")
     kind = dict(pages.dtypes)["page_id"]
     return map_rows(joined, ["page_id", "url", "html", "slots"], extract,
                     f"page_id {kind}, url string, text string, n_chars bigint")
