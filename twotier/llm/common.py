@@ -55,9 +55,9 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            # a few thousand texts at a time bound the memory of a batch of long texts
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            # some hundred texts at a time bound the memory of a batch of long texts
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 cols = work(*[part.column(i).to_pylist() for i in range(part.num_columns)])
                 if len(cols[0]):
                     yield pa.RecordBatch.from_arrays(

@@ -34,6 +34,7 @@ LONGEST_GROUP = 4
 # Fixed lists of HTML element names, class words and roles.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp template".split())
+UNSEEN = set("noscript script style template".split())  # they do not end the text around them
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
              "small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
@@ -126,8 +127,9 @@ def parse(page: str | None) -> Element:
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            flush()
-            stack[-1].parts.append(Element(tag, element_key(tag, token[3])))
+            if tag not in UNSEEN:
+                flush()
+                stack[-1].parts.append(Element(tag, element_key(tag, token[3])))
             at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
         elif tag in INLINE:
             if tag == "a":
@@ -162,7 +164,7 @@ def _close(stack: list[Element], tags: set[str], scope: set[str]) -> None:
 
 
 # A wrapper is a list of items [key, repeated, optional, content]: for the key "#" the content
-# is [constant text or null for a slot, link share]; for another key it is a wrapper; a group
+# is [constant text or null for a slot, link share, pages that have the constant]; for another key it is a wrapper; a group
 # of items that repeat together has the key "()".
 
 def wrapper_of(element: Element) -> list:
@@ -170,10 +172,20 @@ def wrapper_of(element: Element) -> list:
     items = []
     for part in element.parts:
         if isinstance(part, tuple):
-            items.append(["#", False, False, list(part)])
+            items.append(["#", False, False, [*part, 1]])
         else:
             items.append([part.key, False, False, wrapper_of(part)])
-    return fold(items, set())
+    return _once(fold(items, set()))
+
+
+def _once(items: list) -> list:
+    """What stands several times on one page is a constant of one page."""
+    for key, _, _, content in items:
+        if key == "#":
+            content[2] = 1
+        elif key == "()":
+            _once(content)
+    return items
 
 
 def _shape(item: list) -> str:
@@ -213,7 +225,7 @@ def _join(a: list, b: list) -> list:
     """Two items of one shape as one."""
     if a[0] == "#":
         same = a[3][0] is not None and a[3][0] == b[3][0]
-        content = [a[3][0] if same else None, min(a[3][1], b[3][1])]
+        content = [a[3][0] if same else None, min(a[3][1], b[3][1]), a[3][2] + b[3][2] if same else 0]
     else:
         content = align(a[3], b[3])
     return [a[0], a[1] or b[1], a[2] or b[2], content]
@@ -222,8 +234,6 @@ def _join(a: list, b: list) -> list:
 def align(a: list, b: list) -> list:
     """The wrapper of two wrappers: the longest common sequence of shapes is joined,
     what only one side has becomes optional."""
-    if a == b:
-        return a
     known = _groups(a) | _groups(b)
     if known:
         a, b = fold(a, known), fold(b, known)
@@ -251,6 +261,11 @@ def align(a: list, b: list) -> list:
     return fold(out, set())
 
 
+def merged(a: list, b: list) -> list:
+    """The wrapper of two sets of pages; pages that are the same tell nothing."""
+    return a if a == b else align(a, b)
+
+
 def _banned(key: str) -> bool:
     """True for an element that holds no main text by its tag, class words, id or role."""
     tag = re.split(r"[.#@]", key, maxsplit=1)[0]
@@ -266,7 +281,7 @@ def _banned(key: str) -> bool:
     return False
 
 
-def main_slots(wrapper: list, pages: int) -> list[str]:
+def main_slots(wrapper: list) -> list[str]:
     """The paths of the wrapper's texts that are main text.  A path is the keys from the
     root; a constant text that is no main text is the path with the text appended.  With
     an article (or main) element these are its texts; without one, all texts outside banned
@@ -289,9 +304,9 @@ def main_slots(wrapper: list, pages: int) -> list[str]:
     walk(wrapper, "", "")
     if regions - {""}:
         return sorted({path for path, inside, _ in texts if inside})
-    keep = {path for path, _, (constant, links) in texts if links < 0.6 and (constant is None or pages < 2)}
-    drop = {f"{path}\n{constant}" for path, _, (constant, _) in texts if constant is not None and pages > 1 and path in keep}
-    return sorted(keep | drop)
+    fixed = {(path, constant) for path, _, (constant, _, pages) in texts if constant is not None and pages > 1}
+    keep = {path for path, _, (constant, links, _) in texts if links < 0.6 and (path, constant) not in fixed}
+    return sorted(keep | {f"{path}\n{constant}" for path, constant in fixed if path in keep})
 
 
 def page_text(page: str | None, slots: set[str]) -> str:
@@ -323,7 +338,7 @@ def _merged(rows: DataFrame, *keys: str) -> DataFrame:
             for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
                 if key == now:
-                    wrapper, pages = align(wrapper, json.loads(row["wrapper"])), pages + row["pages"]
+                    wrapper, pages = merged(wrapper, json.loads(row["wrapper"])), pages + row["pages"]
                     continue
                 if now is not None:
                     done.append((now[0], json.dumps(wrapper), pages))
@@ -363,7 +378,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = wrapper_of(parse(page))
                 if host in held:
-                    held[host] = [align(held[host][0], own), held[host][1] + 1]
+                    held[host] = [merged(held[host][0], own), held[host][1] + 1]
                 else:
                     held[host] = [own, 1]
             if len(held) >= HOSTS_HELD:
@@ -388,9 +403,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
     def make():
-        return lambda hosts, texts, counts: [hosts, [main_slots(json.loads(w), n) for w, n in zip(texts, counts)]]
+        return lambda hosts, found: [hosts, [main_slots(json.loads(w)) for w in found]]
 
-    slots = map_rows(wrappers(pages), ["host", "wrapper", "pages"], make, "slot_host string, slots array<string>")
+    slots = map_rows(wrappers(pages), ["host", "wrapper"], make, "slot_host string, slots array<string>")
 
     def extract():
         made: dict[tuple, set] = {}

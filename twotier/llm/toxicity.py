@@ -26,13 +26,12 @@ QUERY = "op4_toxicity"
 #: The classifier is fitted on about so many labelled documents of each class, chosen
 #: by the hash of their id.
 TRAIN_DOCS = 6000
-TOXIC_BYTES = 2048
-ORDINARY_BYTES = 4096
+ORDINARY_BYTES = 3000
 ORDINARY_WINDOWS = 20_000
 #: A toxic window stands in so many toxic texts at least, and so many times as often
 #: there as in ordinary ones.
 LEAST_TEXTS = 4
-LEAST_LIFT = 40
+LEAST_LIFT = 60
 #: Distances outside count as these.
 LOW, HIGH = -8, 15
 #: Common context that starts every window, so that short ones are compressed at all.
@@ -46,12 +45,16 @@ def windows(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary; the samples themselves where they are too few to train."""
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a zstandard dictionary, without the header and entropy tables
+    before it; the samples themselves where they are too few to train."""
+    joined = b"".join(samples)
     try:
-        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:
+        whole = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        start = next(at for at in range(8, len(whole) - 12) if whole[at:at + 12] in joined)
+    except (zstandard.ZstdError, StopIteration):
         return b"".join(dict.fromkeys(samples))[:size]
+    return whole[start:]
 
 
 def _repeated(counts: dict[str, int], most: int, draw: random.Random) -> list[bytes]:
@@ -64,12 +67,14 @@ def train_dictionaries(toxic: dict[str, int], ordinary: dict[str, int]) -> tuple
     """(ordinary, toxic) dictionaries from windows and their counts.  Training is
     repeated on the toxic windows that the dictionary does not hold yet."""
     draw = random.Random(7)
-    base = _trained(_repeated(ordinary, 5, draw), ORDINARY_BYTES)
+    base = _trained(_repeated(ordinary, 5, draw), ORDINARY_BYTES, 32)
     out, left = b"", dict(toxic)
     while left:
-        out += _trained(_repeated({w: max(n, 200 // len(left)) for w, n in left.items()}, 10_000, draw), TOXIC_BYTES)
+        samples = _repeated({w: max(n, 200 // len(left)) for w, n in left.items()}, 10_000, draw)
+        out += _trained(samples, 300 + sum(len(w.encode()) + 2 for w in left), 24)
         rest = {w: n for w, n in left.items() if w.encode() not in out}
-        if len(rest) == len(left):
+        if len(rest) == len(left):  # training leaves these out
+            out += b"".join(f" {w} ".encode() for w in sorted(left))
             break
         left = rest
     return base, out

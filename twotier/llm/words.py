@@ -103,7 +103,7 @@ class MinHash:
         out += self.b
         return out
 
-    def signature(self, shingles: np.ndarray, block: int = 4096) -> np.ndarray:
+    def signature(self, shingles: np.ndarray, block: int = 1024) -> np.ndarray:
         """k minima; all 2^32-1 for an empty set."""
         out = np.full(self.k, 0xFFFFFFFF, np.uint32)
         for at in range(0, len(shingles), block):
