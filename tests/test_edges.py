@@ -188,3 +188,68 @@ def test_conditional_trial_parameters(spark):
         if r["gamma"] is not None:
             assert 1e-10 <= r["gamma"] <= 1e10
     assert {r["kernel"] for r in rows} == {"poly", "rbf", "sigmoid"}
+
+
+def test_set_difference_ignores_multiplicity(spark):
+    from twotier.operators import relational as rel
+    a = spark.createDataFrame([("x",)] * 5 + [("y",)], "label string")
+    b = spark.createDataFrame([("x",)], "label string")
+    assert [r["label"] for r in rel.except_lists(a, b).collect()] == ["y"]
+
+
+def test_check_aligned_raises_on_duplicates(spark):
+    from twotier.operators import relational as rel
+    a = spark.createDataFrame([(1,), (2,)], "k int")
+    b = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    with pytest.raises(ValueError):
+        rel.check_aligned(a, b, "k")
+    rel.check_aligned(a, a, "k")
+
+
+def test_healthy_snapshot_has_empty_lists(spark):
+    from twotier.operators import control as ctl
+    rows = [(0, layer, m, i, 1.0) for layer in (1, 2) for i, m in enumerate(ctl.METRIC_ORDER)]
+    long = spark.createDataFrame(rows, "run_id int, layer int, metric string, ordinal int, value double")
+    lists = ctl.objectives(long, ["run_id"]).collect()
+    assert {r["layer"]: r["objs"] for r in lists} == {1: [], 2: []}
+    msg = ctl.parse_objectives(ctl.objectives_message(ctl.objectives(long, ["run_id"]), ["run_id"])).first()
+    assert msg["objs_layer1"] == [] and msg["objs_layer2"] == []
+
+
+def test_null_and_nan_scores(spark):
+    from twotier.operators import cascade as cas
+    rows = [(None, 0.9, 1), (0, float("nan"), 1), (0, None, 0), (1, None, 1), (0, 0.9, 1), (0, 0.1, 0)]
+    df = cas.cascade_online(spark.createDataFrame(rows, "l1_pred int, p2 double, y_any int"))
+    tags = [r["tag"] for r in df.collect()]
+    assert tags == [None, "QUARANTINE", "QUARANTINE", "L1_ANOMALY", "L2_ANOMALY", "NOT_ANOMALY2"]
+    w = cas.outcome_counts_wide(df).first()
+    assert w["total"] == 6 and w["quarantined"] == 2
+    assert w["l1_tp"] + w["l1_fp"] + w["l1_tn"] + w["l1_fn"] == 5
+
+
+def test_class_without_values_of_a_feature(spark):
+    from twotier.models.naive_bayes import moments_by_group, nb_from_moments
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, None), (1, None, 5.0), (1, None, 6.0)], "y int, a double, b double")
+    mm, nb = nb_from_moments(moments_by_group(df, ["y"], ["a", "b"]), "y", ["a", "b"])
+    assert nb.means[1]["a"] == pytest.approx(0.5) and nb.counts == {0: 2, 1: 2} and nb.means[0]["b"] == pytest.approx(0.0)
+
+
+def test_snapshots_wait_for_a_ready_layer(spark):
+    from twotier.streaming import detection as sd
+    rows = [(0, 1, 5, 0, 4, 1), (0, 2, 1, 1, 1, 0), (1, 1, 1, 1, 1, 1), (1, 2, 0, 0, 0, 0)]
+    snap = spark.createDataFrame(rows, "epoch int, layer int, tp long, fp long, tn long, fn long")
+    assert {r["epoch"] for r in sd.ready(snap).collect()} == {1} and sd.ready(snap).count() == 2
+
+
+def test_only_local_mode_may_pick_its_own_folder(spark):
+    from types import SimpleNamespace
+    from twotier import session
+    assert session.is_local(spark.sparkContext) and session.is_local(SimpleNamespace(master="local"))
+    assert not session.is_local(SimpleNamespace(master="local-cluster[3,2,1024]"))
+    assert not session.is_local(SimpleNamespace(master="spark://host:7077")) and not session.is_local(None)
+
+
+def test_select_items():
+    from twotier.operators import relational as rel
+    assert rel._select_items("round(a, 2) as r, b, concat(c, ', ') x, d[0]") == [
+        "round(a, 2) as r", "b", "concat(c, ', ') x", "d[0]"]

@@ -139,6 +139,7 @@ def moments_by_group(df: DataFrame, keys: list[str], features: list[str]) -> lis
     variance of every feature (bounded output: one row per key combination)."""
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
+        *[F.count(F.col(f)).alias(f"n_{f}") for f in features],
         *[F.min(F.col(f).cast("double")).alias(f"mn_{f}") for f in features],
         *[F.max(F.col(f).cast("double")).alias(f"mx_{f}") for f in features],
         *[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in features],
@@ -149,24 +150,27 @@ def moments_by_group(df: DataFrame, keys: list[str], features: list[str]) -> lis
 def nb_from_moments(groups: list, y: str, features: list[str], var_smoothing: float = 1e-9):
     """Min-max scaler + Gaussian NB on the scaled features, derived exactly
     from per-group raw moments: scaled mean = (mean - lo) / range, scaled
-    variance = variance / range^2."""
+    variance = variance / range^2.  NULL values have no weight; a class
+    without any value of a feature takes the feature's overall moments."""
     from ..operators.features import MinMax
-    mins = {f: min(g[f"mn_{f}"] for g in groups) for f in features}
-    maxs = {f: max(g[f"mx_{f}"] for g in groups) for f in features}
+    mins = {f: min((g[f"mn_{f}"] for g in groups if g[f"mn_{f}"] is not None), default=0.0) for f in features}
+    maxs = {f: max((g[f"mx_{f}"] for g in groups if g[f"mx_{f}"] is not None), default=0.0) for f in features}
     mm = MinMax(mins, maxs)
     rng = {f: (maxs[f] - mins[f]) if maxs[f] != mins[f] else 1.0 for f in features}
     classes = sorted({int(g[y]) for g in groups})
     counts, means, variances = {}, {}, {}
-    glob_var = {}
+    glob_var, overall = {}, {}
     for f in features:
-        _, _, v = combine_moments([(g["_n"], g[f"m_{f}"], g[f"v_{f}"]) for g in groups])
-        glob_var[f] = v / rng[f] ** 2
+        overall[f] = combine_moments([(g[f"n_{f}"], g[f"m_{f}"], g[f"v_{f}"]) for g in groups if g[f"n_{f}"]])
+        glob_var[f] = overall[f][2] / rng[f] ** 2
     for c in classes:
         part = [g for g in groups if int(g[y]) == c]
         counts[c] = sum(g["_n"] for g in part)
         means[c], variances[c] = {}, {}
         for f in features:
-            _, m, v = combine_moments([(g["_n"], g[f"m_{f}"], g[f"v_{f}"]) for g in part])
+            n, m, v = combine_moments([(g[f"n_{f}"], g[f"m_{f}"], g[f"v_{f}"]) for g in part if g[f"n_{f}"]])
+            if not n:
+                _, m, v = overall[f]
             means[c][f] = (m - mins[f]) / rng[f]
             variances[c][f] = v / rng[f] ** 2
     nb = GaussianNB(features, classes, counts, means, variances, max(glob_var.values()), var_smoothing)

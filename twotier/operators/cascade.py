@@ -18,9 +18,13 @@ TAGS = ["L1_ANOMALY", "L2_ANOMALY", "NOT_ANOMALY2", "QUARANTINE"]
 
 def cascade_tag(l1_pred: Column, p2: Column, t_anom: float = ANOMALY_THRESHOLD2,
                 t_benign: float = BENIGN_THRESHOLD) -> Column:
-    """CAS1 decision for one row."""
+    """CAS1 decision for one row.  A row that layer 1 could not score (NULL)
+    has no tag; a row whose layer-2 probability is NULL or NaN passes neither
+    threshold and is quarantined."""
     return (
-        F.when(l1_pred == 1, F.lit("L1_ANOMALY"))
+        F.when(l1_pred.isNull(), F.lit(None).cast("string"))
+        .when(l1_pred == 1, F.lit("L1_ANOMALY"))
+        .when(p2.isNull() | F.isnan(p2), F.lit("QUARANTINE"))
         .when(p2 >= F.lit(t_anom), F.lit("L2_ANOMALY"))
         .when(F.lit(1.0) - p2 >= F.lit(t_benign), F.lit("NOT_ANOMALY2"))
         .otherwise(F.lit("QUARANTINE"))
@@ -36,14 +40,15 @@ def cascade_online(df: DataFrame, l1_pred: str = "l1_pred", p2: str = "p2",
 def cascade_offline(df: DataFrame, l1_pred: str = "l1_pred", l2_pred: str = "l2_pred") -> DataFrame:
     """CAS2: final 0/1 = 1 if layer 1 fires, else the layer-2 hard prediction."""
     return df.withColumn(
-        "pred", F.when(F.col(l1_pred) == 1, F.lit(1)).otherwise(F.col(l2_pred).cast("int")))
+        "pred", F.when(F.col(l1_pred).isNull(), F.lit(None).cast("int")).when(F.col(l1_pred) == 1, F.lit(1))
+        .otherwise(F.col(l2_pred).cast("int")))
 
 
 def outcome_flags(tag: Column, actual: Column) -> dict[str, Column]:
     """Per-row layer/outcome indicators of CAS3.
 
     Layer 1 counts every row; layer 2 counts rows layer 1 passed that were not
-    quarantined; a NULL actual is counted nowhere.
+    quarantined; a NULL actual or tag is counted nowhere.
     """
     a1, a0 = actual == 1, actual == 0
     l1_pos = tag == "L1_ANOMALY"

@@ -93,7 +93,8 @@ def metrics_long(accepted: DataFrame, keep: list[str]) -> DataFrame:
 def objectives(long: DataFrame, keep: list[str], mode: str = "reference") -> DataFrame:
     """CTL1: per layer, the metrics strictly below their threshold (in
     ``corrected`` mode error rates fire when strictly above).  Lists keep the
-    message's metric order.  Thresholds are a 14-row broadcast."""
+    message's metric order; a layer with nothing to fire has an empty list.
+    Thresholds are a 14-row broadcast."""
     th = F.broadcast(thresholds_frame(long.sparkSession))
     j = long.join(th, ["layer", "metric", "ordinal"], "inner")
     if mode == "reference":
@@ -101,8 +102,8 @@ def objectives(long: DataFrame, keep: list[str], mode: str = "reference") -> Dat
     else:
         fire = F.when(F.col("lower_is_better"), F.col("value") > F.col("threshold")) \
             .otherwise(F.col("value") < F.col("threshold"))
-    lists = (j.where(fire).groupBy(*keep, "layer")
-             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "metric"))).alias("_o"))
+    lists = (j.groupBy(*keep, "layer")
+             .agg(F.array_sort(F.collect_list(F.when(fire, F.struct("ordinal", "metric")))).alias("_o"))
              .select(*keep, "layer", F.transform("_o", lambda s: s["metric"]).alias("objs")))
     return lists
 

@@ -54,7 +54,7 @@ def perform_query(spark: SparkSession, request: dict, tables: dict[str, DataFram
         if where:
             df = df.where(F.expr(where))
         sel = request.get("select", "*")
-        exprs = [s.strip() for s in sel.split(",")] if isinstance(sel, str) else list(sel)
+        exprs = _select_items(sel) if isinstance(sel, str) else list(sel)
         df = df.selectExpr(*exprs)
         df.schema  # force analysis so bad column names surface here
         return df
@@ -62,6 +62,24 @@ def perform_query(spark: SparkSession, request: dict, tables: dict[str, DataFram
         return None
 
 
+def _select_items(select: str) -> list[str]:
+    """The items of a SELECT list: commas inside brackets or quotes do not
+    separate."""
+    items, depth, quote = [""], 0, ""
+    for c in select:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += (c in "([") - (c in ")]")
+        if c == "," and not depth and not quote:
+            items.append("")
+        else:
+            items[-1] += c
+    return [i.strip() for i in items]
+
+
 def is_stale(df: DataFrame, ts_col: str, now: str, hours: int = 3, out: str = "stale") -> DataFrame:
     """FLT4: ``now - ts > hours``; a missing timestamp is not stale.  ``now``
     is passed in (testable, deterministic)."""
@@ -87,11 +105,11 @@ def append_column_by_key(df: DataFrame, values: DataFrame, key: str) -> DataFram
 
 
 def check_aligned(df: DataFrame, values: DataFrame, key: str) -> None:
-    """Lengths must match and every key must pair up (one aggregate job)."""
-    a = df.select(key).withColumn("_a", F.lit(1))
-    b = values.select(key).withColumn("_b", F.lit(1))
-    bad = a.join(b, key, "full_outer").where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count()
-    if bad:
+    """Every key must stand exactly once on each side (one aggregate job)."""
+    a = df.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    b = values.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    bad = a.union(b).groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where("_a <> 1 or _b <> 1")
+    if not bad.isEmpty():
         raise ValueError("table and value column do not align by row key")
 
 
@@ -111,8 +129,9 @@ def intersect_lists(a: DataFrame, b: DataFrame, col: str = "feature") -> DataFra
 
 
 def except_lists(a: DataFrame, b: DataFrame, col: str = "label") -> DataFrame:
-    """SET2."""
-    return a.select(col).exceptAll(b.select(col)).distinct()
+    """SET2: the distinct values of ``a`` that are not in ``b`` (set
+    difference: how often a value repeats on either side does not count)."""
+    return a.select(col).distinct().join(b.select(col).distinct(), col, "left_anti")
 
 
 def union_rows(*dfs: DataFrame) -> DataFrame:

@@ -102,9 +102,8 @@ def _objectives_sql(mode: str) -> str:
         fire = ("case when th.lower_is_better then l.value > th.threshold "
                 "else l.value < th.threshold end")
     return with_base(f"""
-select l.run_id, l.layer, string_agg(l.metric, ',' order by l.ordinal) as objs
+select l.run_id, l.layer, coalesce(string_agg(l.metric, ',' order by l.ordinal) filter (where {fire}), '') as objs
 from rlong l join th on l.layer = th.layer and l.metric = th.metric
-where {fire}
 group by l.run_id, l.layer""", extra=RUNS_EXTRA)
 
 
@@ -121,6 +120,20 @@ query("objectives", _objectives_sql("reference"))(_objectives("reference"))
 query("objectives_corrected", _objectives_sql("corrected"))(_objectives("corrected"))
 
 
+@query("objectives_message", with_base("""
+select l.run_id,
+       coalesce(string_agg(l.metric, ',' order by l.ordinal) filter (where l.layer = 1 and l.value < th.threshold), '') as objs_layer1,
+       coalesce(string_agg(l.metric, ',' order by l.ordinal) filter (where l.layer = 2 and l.value < th.threshold), '') as objs_layer2
+from rlong l join th on l.layer = th.layer and l.metric = th.metric group by l.run_id""", extra=RUNS_EXTRA))
+def objectives_message(spark, sf_dir):
+    """CTL1 + CTL5: one reply message per run, parsed back; a healthy layer's
+    list is empty, and every run has a message."""
+    lists = ctl.objectives(ctl.metrics_long(parsed_runs(spark, sf_dir), ["run_id"]), ["run_id"])
+    parsed = ctl.parse_objectives(ctl.objectives_message(lists, ["run_id"]))
+    return parsed.select("run_id", F.array_join("objs_layer1", ",").alias("objs_layer1"),
+                         F.array_join("objs_layer2", ",").alias("objs_layer2"))
+
+
 @query("snapshot_rejects", with_base("""
 select run_id, case when run_id = 1 then 'metrics_2.fscore' else 'classification_metrics' end as missing
 from runs where run_id in (1, 3)""", extra=RUNS_EXTRA))

@@ -32,6 +32,20 @@ def dict_query(spark, sf_dir):
     }, tables)
 
 
+@query("dict_query_calls", """
+select o_orderkey, round(o_totalprice, 0) as price, concat(o_orderstatus, ', ', substr(o_orderpriority, 1, 1)) as tag
+from orders where o_totalprice > 1e5""")
+def dict_query_calls(spark, sf_dir):
+    """FLT3: SELECT items with commas inside calls and quotes."""
+    tables = {"orders": load_table(spark, sf_dir, "orders")}
+    return rel.perform_query(spark, {
+        "select": "o_orderkey, round(o_totalprice, 0) as price, "
+                  "concat(o_orderstatus, ', ', substr(o_orderpriority, 1, 1)) as tag",
+        "from": "orders",
+        "where": "o_totalprice > 1e5",
+    }, tables)
+
+
 @query("stale_sources", f"""
 select o_orderkey, o_orderdate,
        cast(coalesce(o_orderdate < timestamp '{ORDERS_NOW}' - interval 3 hour, false) as integer) as stale
@@ -44,11 +58,11 @@ def stale_sources(spark, sf_dir):
 
 @query("set_difference", """
 select c_custkey, c_name from customer
-where c_custkey not in (select o_custkey from orders where o_custkey is not null)""")
+where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_totalprice > 4e5)""")
 def set_difference(spark, sf_dir):
-    """JON3: customers that placed no order (left anti-join)."""
+    """JON3: customers that placed no large order (left anti-join)."""
     c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    o = load_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = load_table(spark, sf_dir, "orders").where("o_totalprice > 4e5").select(F.col("o_custkey").alias("c_custkey"))
     return rel.set_difference(c, o, "c_custkey")
 
 
@@ -59,7 +73,9 @@ def append_by_position(spark, sf_dir):
     shared row key (inner equi-join, alignment checked)."""
     lf = labelled_flows(spark, sf_dir)
     feats = lf.select("flow_id", "src_bytes", "count", "label")
-    target = lf.select("flow_id", "y_any")
+    path = shared_path(spark, "targets")
+    lf.select("flow_id", "y_any").write.parquet(path)
+    target = spark.read.parquet(path)
     rel.check_aligned(feats, target, "flow_id")
     return rel.append_column_by_key(feats, target, "flow_id")
 
@@ -87,6 +103,37 @@ def unseen_labels(spark, sf_dir):
     return rel.except_lists(test, train, "label")
 
 
+@query("labels_beyond", with_base("""
+select distinct label from flows where label not in ('normal', 'smurf')"""))
+def labels_beyond(spark, sf_dir):
+    """SET2 with the larger left side: every label minus those of a few rows."""
+    f = flows(spark, sf_dir)
+    few = f.where(F.col("label").isin("normal", "smurf")).dropDuplicates(["label"])
+    return rel.except_lists(f, few, "label")
+
+
+@query("labels_in_both", with_base("""
+select distinct label from flows where md5('42:' || flow_id) < '4ccc'
+and label in (select label from flows where md5('42:' || flow_id) >= '4ccc')"""))
+def labels_in_both(spark, sf_dir):
+    """SET1: labels of both sides of the split."""
+    f = sp.hash_split(flows(spark, sf_dir)).select("label", "split")
+    return rel.intersect_lists(f.where("split = 'test'"), f.where("split = 'train'"), "label")
+
+
+@query("union_by_name", with_base("""
+select label, side, count(*) as n, count(src_bytes) as n_bytes from (
+  select label, 'attack' as side, src_bytes from flows where label <> 'normal'
+  union all select label, 'normal', null from flows where label = 'normal') u group by label, side"""))
+def union_by_name(spark, sf_dir):
+    """SET3: rows of two frames with different columns, missing ones NULL."""
+    f = flows(spark, sf_dir)
+    attack = f.where("label <> 'normal'").select("label", "src_bytes", F.lit("attack").alias("side"))
+    normal = f.where("label = 'normal'").select(F.lit("normal").alias("side"), "label")
+    return rel.union_rows(attack, normal).groupBy("label", "side").agg(
+        F.count(F.lit(1)).alias("n"), F.count("src_bytes").alias("n_bytes"))
+
+
 @query("raw_flows_roundtrip", with_base("""
 select label, count(*) as n, cast(sum(cast(round(src_bytes * 100) as bigint)) as bigint) as sum_src_cents,
        count(distinct protocol_type) as n_protocols, round(sum(serror_rate), 6) as sum_serror_rate

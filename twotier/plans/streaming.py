@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_path
+from ..sources.flows import load_table
 from ..streaming import detection as sd
 from .common import query
 from .sqlparts import outcome_sql, snapshot_sql, with_base
@@ -13,9 +14,8 @@ from ..sources.thresholds import METRIC_ORDER, thresholds_values_sql
 
 
 def _run(spark, sf_dir):
-    src = sd.land_flow_files(spark, sf_dir, n_files=4)
     out = shared_path(spark, "snapshots")
-    sd.run_detection(spark, src, out, shared_path(spark, "ckpt-detect"))
+    sd.run_detection(spark, sf_dir, out, shared_path(spark, "ckpt-detect"), glob="lineitem.parquet")
     return out
 
 
@@ -51,9 +51,9 @@ th as (select * from {thresholds_values_sql()})"""
 
 
 @query("stream_objectives", with_base("""
-select l.layer, string_agg(l.metric, ',' order by l.ordinal) as objs
+select l.layer, coalesce(string_agg(l.metric, ',' order by l.ordinal) filter (where l.value < th.threshold), '') as objs
 from sl l join th on l.layer = th.layer and l.metric = th.metric
-where l.value < th.threshold group by l.layer""", extra=_OBJ_EXTRA))
+group by l.layer""", extra=_OBJ_EXTRA))
 def stream_objectives(spark, sf_dir):
     """STR7: objectives computed for every snapshot as it lands; those of
     the last snapshot equal the batch objectives."""
@@ -61,7 +61,7 @@ def stream_objectives(spark, sf_dir):
     out = shared_path(spark, "objectives")
     sd.objectives_stream(spark, snaps, out, shared_path(spark, "ckpt-objectives"))
     lists = spark.read.parquet(out)
-    last = lists.agg(F.max("batch_id").alias("_b"))
+    last = spark.read.parquet(snaps).agg(F.max("batch_id").alias("_b"))
     return (lists.join(F.broadcast(last), lists.batch_id == last._b)
             .select("layer", F.array_join("objs", ",").alias("objs")))
 
@@ -77,7 +77,11 @@ def stream_batches(spark, sf_dir):
 @query("stream_dedup", """
 select distinct event_type, props as payload from events""")
 def stream_dedup(spark, sf_dir):
-    """CTL7 stream: watermark-bounded content dedup of the event messages."""
+    """CTL7 stream: watermark-bounded content dedup of the event messages.  The
+    watermark is the time span of the whole table, so no row of it is late and
+    no repeat outlives it, whatever the table's length."""
     out = shared_path(spark, "dedup")
-    sd.dedup_stream(spark, sf_dir, out, shared_path(spark, "ckpt-dedup"))
+    ts = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    span = load_table(spark, sf_dir, "events").agg((F.max(ts) - F.min(ts) + 1).alias("s")).first()["s"] or 1
+    sd.dedup_stream(spark, sf_dir, out, shared_path(spark, "ckpt-dedup"), delay=f"{span} seconds")
     return spark.read.parquet(out).select("event_type", "payload")

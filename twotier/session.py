@@ -2,13 +2,15 @@
 
 The library never creates machine-local scratch space on a cluster: lineage is
 cut with ``DataFrame.checkpoint()`` into the folder the cluster names in
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests) do we
-pick a private folder under the system temp directory.
+``spark.checkpoint.dir``.  Only in local mode, where that setting is absent in
+tests, do we pick a private folder under the system temp directory; on a cluster
+a missing setting is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def get_spark(master: str | None = None, app: str = "twotier") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -37,6 +40,11 @@ def get_spark(master: str | None = None, app: str = "twotier") -> SparkSession:
     return spark
 
 
+def is_local(sc) -> bool:
+    """True where driver and executors are one process."""
+    return sc is not None and re.match(r"local(\[|$)", sc.master or "") is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a private one only if unset.
 
@@ -53,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not is_local(sc):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="twotier-ckpt-")
         try:
