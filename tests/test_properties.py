@@ -159,3 +159,15 @@ def test_nb_cascade_independent_of_partitioning(spark, sf_dir):
     b = {r["flow_id"]: r["p1"] for r in
          L.score_layer(test.repartition(5), mm1, nb1, "p1").select("flow_id", "p1").collect()}
     assert a == b
+
+
+def test_default_detector_detects(spark, sf_dir):
+    """RF layer 1 + landmark SVM layer 2 through the cascade: layer-1 MCC floor."""
+    import math
+
+    from twotier.operators import cascade as cas
+    from twotier.plans.models import default_detector
+    w = cas.outcome_counts_wide(default_detector(spark, sf_dir)).first()
+    tp, fp, tn, fn = (w[f"l1_{k}"] for k in ("tp", "fp", "tn", "fn"))
+    low = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    assert low and (tp * tn - fp * fn) / low > 0.2 and w["quarantined"] <= tn + fn

@@ -53,14 +53,21 @@ class Registry:
     def publish_layers(self, version: int, layers: dict[str, tuple[MinMax, GaussianNB]]) -> None:
         doc = json.dumps({name: _nb_to_dict(mm, nb) for name, (mm, nb) in layers.items()})
         self._write_text(f"{self.root}/v{version}", doc)
-        self._write_text(f"{self.root}/_current", str(version))
+        self._announce(version)
 
     def publish_pipeline(self, version: int, model: PipelineModel) -> None:
         model.write().overwrite().save(f"{self.root}/v{version}")
-        self._write_text(f"{self.root}/_current", str(version))
+        self._announce(version)
+
+    def _announce(self, version: int) -> None:
+        """Appends the number of a version whose folder is complete: nothing is
+        ever overwritten, so a reader always finds a version."""
+        (self.spark.createDataFrame([(str(version),)], "value string").coalesce(1)
+         .write.mode("append").text(f"{self.root}/versions"))
 
     def current_version(self) -> int:
-        return int(self._read_text(f"{self.root}/_current").strip())
+        """The highest complete version."""
+        return self.spark.read.text(f"{self.root}/versions").selectExpr("max(int(value)) as v").first()["v"]
 
     def load_layers(self, version: int | None = None) -> tuple[int, dict[str, tuple[MinMax, GaussianNB]]]:
         v = self.current_version() if version is None else version

@@ -143,20 +143,35 @@ ICFS_TESTS = {
 
 
 def icfs_correlations(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """The four one-vs-rest correlation tests of FEA7 fused into ONE pass:
-    rows outside a test's population are NULLed out of that test's terms."""
-    lab = F.col(label)
-    aggs = []
-    for name, (pop, pos, _thr, _layer) in ICFS_TESTS.items():
-        inside = lab.isin(pop) if pop else F.lit(True)
-        yv = F.when(inside, lab.isin(pos).cast("double"))
+    """The four one-vs-rest correlation tests of FEA7 from ONE pass.
+
+    Rows are grouped by the test whose positive labels they have (else normal
+    or other: at most six groups) with count, mean and variance of every
+    feature.  A correlation with a 0/1 target follows from the moments of its
+    two sides: (mean1 - mean0) * sqrt(p * (1 - p)) / stddev.  NULL for a
+    constant feature or an empty side.
+    """
+    from ..models.naive_bayes import combine_moments
+    kind = F.when(F.col(label) == "normal", "normal").otherwise("other")
+    for name, (_pop, pos, _thr, _layer) in ICFS_TESTS.items():
+        kind = F.when(F.col(label).isin(pos), name).otherwise(kind)
+    groups = df.groupBy(kind.alias("_kind")).agg(
+        *[F.count(F.col(f)).alias(f"n_{f}") for f in features],
+        *[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in features],
+        *[F.var_pop(F.col(f).cast("double")).alias(f"v_{f}") for f in features]).collect()
+    rows = []
+    for name, (pop, _pos, _thr, _layer) in ICFS_TESTS.items():
+        inside = [g for g in groups if pop is None or g["_kind"] in ("normal", name)]
         for f in features:
-            xv = F.when(inside, F.col(f).cast("double"))
-            aggs.append(pearson(xv, yv).alias(f"{name}__{f}"))
-    wide = df.agg(*aggs)
-    parts = [f"'{n}', '{f}', `{n}__{f}`" for n in ICFS_TESTS for f in features]
-    stack = f"stack({len(parts)}, {', '.join(parts)}) as (test, feature, r)"
-    return wide.select(F.expr(stack))
+            parts = {side: combine_moments([(g[f"n_{f}"], g[f"m_{f}"], g[f"v_{f}"]) for g in inside
+                                            if (g["_kind"] == name) is side and g[f"n_{f}"]]) for side in (True, False)}
+            n, _, var = combine_moments([p for p in parts.values() if p[0]])
+            share = parts[True][0] / n if n else 0.0
+            r = None
+            if var and 0 < share < 1:
+                r = (parts[True][1] - parts[False][1]) * math.sqrt(share * (1 - share) / var)
+            rows.append((name, f, r))
+    return df.sparkSession.createDataFrame(rows, "test string, feature string, r double")
 
 
 def select_features_icfs(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:

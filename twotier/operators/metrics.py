@@ -68,20 +68,17 @@ def detection_rate_seen_unseen(test: DataFrame, train: DataFrame, pred: str = "p
                                label: str = "label") -> DataFrame:
     """AGG11: unseen = attack labels of test absent from train.
 
-    Label sets are de-duplicated (partial aggregation) before the anti-join,
-    so only distinct labels move.  Their count has no hard bound (unlisted
-    names are allowed), so no broadcast is forced: AQE picks a broadcast from
-    the measured size, or a shuffle join beyond it.
+    The rows are counted per label before the join, so one row per distinct
+    label moves, however many rows a label has.
     """
-    train_labels = train.select(label).distinct()
-    attacks = test.where(F.col(label) != "normal")
-    unseen = attacks.select(label).distinct().join(train_labels, label, "left_anti") \
-        .withColumn("_unseen", F.lit(1))
-    flagged = attacks.join(unseen, label, "left").withColumn(
-        "seen", F.when(F.col("_unseen") == 1, F.lit("unseen")).otherwise(F.lit("seen")))
+    train_labels = train.select(label).distinct().withColumn("_seen", F.lit(1))
+    counts = test.where(F.col(label) != "normal").groupBy(label).agg(
+        F.count(F.lit(1)).alias("_total"), F.sum(F.col(pred)).alias("_detected"))
+    flagged = counts.join(train_labels, label, "left").withColumn(
+        "seen", F.when(F.col("_seen") == 1, F.lit("seen")).otherwise(F.lit("unseen")))
     return flagged.groupBy("seen").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.sum(F.col(pred)).cast("bigint").alias("detected"),
+        F.sum("_total").alias("total"),
+        F.sum("_detected").cast("bigint").alias("detected"),
     ).withColumn("ratio", r6(ratio_or_null("detected", "total")))
 
 
@@ -96,7 +93,7 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
     """AGG14: total / (2 * class count) per target value."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    # the total is a one-row frame; join on a constant key, not a cross join
+    # the total is one row, so this product with it has one row per target value
     return (counts.withColumn("_k", F.lit(1))
             .join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
             .select(y, "n", r6(F.col("total") / (F.lit(2.0) * F.col("n"))).alias("weight")))

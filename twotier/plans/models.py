@@ -12,6 +12,7 @@ from ..models import kernel as kn
 from ..models import prepare as pp
 from ..models import trees as tr
 from ..models.novelty import fit_novelty
+from ..operators import cascade as cas
 from ..operators import features as fe
 from ..session import shared_path
 from ..sources.flows import CATEGORICAL, load_table
@@ -101,6 +102,52 @@ def svm_kernel(spark, sf_dir):
     return _evaluate(scored, "svm_kernel", y="y_l2")
 
 
+def default_detector(spark, sf_dir, n_estimators: int = 50, max_depth: int = 12, landmarks: int = 32) -> DataFrame:
+    """The default detector on the test rows: per layer select, min-max,
+    one-hot, assemble and PCA (95 % of the variance), a random forest on layer
+    1, the landmark RBF SVM with probability on the layer-2 population, tagged
+    by CAS1.  Columns: flow_id, labels, l1_pred, p2, tag."""
+    from pyspark.ml.feature import VectorAssembler
+    train, test = split_frames(spark, sf_dir)
+    raw = ["flow_id", "attack_class", "y_any", "y_l1", "y_l2", *CATEGORICAL, *L1_FEATURES]
+    train, test = train.select(raw), test.select(raw)
+
+    mm, enc = pp.fit_prepare(train, L1_FEATURES, CATEGORICAL)
+    prepared = pp.apply_prepare(train, mm, enc)
+    pca = pp.fit_pca(prepared, "features")
+    assemble = VectorAssembler(inputCols=[f"PA{j + 1}" for j in range(pca.k)], outputCol="_pa")
+
+    def layer1(df):
+        return assemble.transform(pca.transform(pp.apply_prepare(df, mm, enc), "features", raw, prefix="PA"))
+
+    forest = tr.fit_model(layer1(train), "rf", {"n_estimators": n_estimators, "max_depth": max_depth}, features="_pa",
+                          y="y_l1")
+    scored = forest.transform(layer1(test)).select(*raw, F.col("prediction").cast("int").alias("l1_pred"))
+
+    train2 = train.where(F.col("attack_class").isin(L2_CLASSES))
+    mm2, enc2 = pp.fit_prepare(train2, L2_FEATURES, CATEGORICAL)
+    prepared2 = pp.apply_prepare(train2, mm2, enc2)
+    pca2 = pp.fit_pca(prepared2, "features")
+    names = [f"PB{j + 1}" for j in range(pca2.k)]
+    inputs = [F.col(n) for n in names]
+    svm = kn.fit_kernel_svm(pca2.transform(prepared2, "features", ["flow_id", "y_l2"], prefix="PB"), names, inputs,
+                            "y_l2", C=10.0, m=landmarks, gamma=1.0)
+    keep = ["flow_id", "attack_class", "y_any", "y_l1", "y_l2", "l1_pred"]
+    layer2 = pca2.transform(pp.apply_prepare(scored, mm2, enc2), "features", keep, prefix="PB")
+    return cas.cascade_online(svm.transform(layer2, inputs, keep).withColumnRenamed("p_svm", "p2"), "l1_pred", "p2")
+
+
+@query("rf_svm_cascade", with_base(f"""
+select count(*) as total, count(*) as l1_total, 0 as lost from lf where {TEST}"""))
+def rf_svm_cascade(spark, sf_dir):
+    """CAS1 + CAS3 of the default detector: every test row is counted on layer
+    1, and every layer-1 negative on layer 2 or in quarantine (lost = 0)."""
+    w = cas.outcome_counts_wide(default_detector(spark, sf_dir))
+    l2 = F.col("l2_tp") + F.col("l2_fp") + F.col("l2_tn") + F.col("l2_fn")
+    return w.select("total", (F.col("l1_tp") + F.col("l1_fp") + F.col("l1_tn") + F.col("l1_fn")).alias("l1_total"),
+                    (F.col("l1_tn") + F.col("l1_fn") - l2 - F.col("quarantined")).alias("lost"))
+
+
 KF_M = 8
 KF_GAMMA = 1.0
 
