@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -50,9 +51,10 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
     in the order of ``schema``."""
     spark = df.sparkSession
     out = spark.createDataFrame([], schema).schema
-    arrow = to_arrow_schema(out)
+    arrow, owner = to_arrow_schema(out), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker(owner)
         work = make()
         for batch in batches:
             # some hundred texts at a time bound the memory of a batch of long texts
@@ -73,18 +75,28 @@ def row_udf(spark: SparkSession, make: Callable[[], Callable], returns: str) ->
     function of one row's values; ``returns`` is the DDL of the result's type."""
     kind = to_arrow_schema(spark.createDataFrame([], f"x {returns}").schema).field(0).type
     state: list[Callable] = []
+    owner = uuid.uuid4().hex
 
     def run(*columns: pa.Array) -> pa.Array:
         if not state:
+            _own_worker(owner)
             state.append(make())
         return pa.array([state[0](*row) for row in zip(*[c.to_pylist() for c in columns])], type=kind)
 
     return F.arrow_udf(run, returns)
 
 
+def _own_worker(owner: str) -> None:
+    """Frees what a Python worker holds for another operator than ``owner``."""
+    held = sys.__dict__.setdefault("_twotier_held", {})
+    if held.get("owner") != owner:
+        held.clear()
+        held["owner"] = owner
+
+
 def per_worker(name: str, make: Callable):
-    """An object that a Python worker keeps from task to task: a memo or a loaded file,
-    never anything that results depend on."""
+    """An object that a Python worker keeps from task to task of one operator: a memo or
+    a loaded file, never anything that results depend on."""
     held = sys.__dict__.setdefault("_twotier_held", {})
     if name not in held:
         held[name] = make()
