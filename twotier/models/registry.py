@@ -1,6 +1,6 @@
 """Versioned model registry (MOD1): publish / load / swap.
 
-A model version is a folder ``<root>/v<version>``; ``<root>/_current`` names
+A model version is a folder ``<root>/v<version>``; ``<root>/versions`` lists
 the version in use.  Readers (a streaming scorer in ``foreachBatch``) resolve
 the pointer on every micro-batch, so a newly published model is picked up at
 the next batch boundary.  Closed-form models (min-max + Gaussian NB) are
