@@ -132,6 +132,22 @@ def test_what_does_not_validate_stays(value):
     assert pii.Pseudonyms(b"k").replace(f"a {value} b") == (f"a {value} b", [])
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (212) 155-7713", "(017) 555-7713", "112-055-7713", "+1 1175550000"])
+def test_ten_digit_phones_outside_the_numbering_plan_are_replaced_too(value):
+    new, spans = pii.Pseudonyms(b"k").replace(f"call {value}.")
+    assert [k for k, _, _ in spans] == ["phone"] and value not in new and len(new) == len(f"call {value}.")
+    assert pii.Pseudonyms(b"k").replace(new)[1] == spans
+    assert pii.Pseudonyms(b"k", backwards=True).replace(new)[0] == f"call {value}."
+
+
+def test_ten_digit_phones_stay_different():
+    numbers = [f"+1 ({a:03d}) {b}55-7713" for a in range(0, 1000, 7) for b in range(10)]
+    forward = pii.Pseudonyms(b"k")
+    new = [forward.replace(n)[0] for n in numbers]
+    assert len(set(new)) == len(numbers)
+    assert all((a[4] > "1" and a[9] > "1") == (b[4] > "1" and b[9] > "1") for a, b in zip(numbers, new))
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         f = pii.Feistel(b"k", "x", size)

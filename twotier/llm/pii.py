@@ -116,8 +116,9 @@ class Pseudonyms:
             self.networks[name, size] = Feistel(self.key, name, size)
         return self.networks[name, size].permute(value, self.backwards, fits)
 
-    def _digits(self, name: str, digits: list[int], sizes: list[int]) -> list[int]:
-        return _unpack(self._permute(f"{name} {sizes}", prod(sizes), _pack(digits, sizes)), sizes)
+    def _digits(self, name: str, digits: list[int], sizes: list[int],
+                fits: Callable[[int], bool] = lambda v: True) -> list[int]:
+        return _unpack(self._permute(f"{name} {sizes}", prod(sizes), _pack(digits, sizes), fits), sizes)
 
     @staticmethod
     def _fill(shape: str, digits: str) -> str:
@@ -135,7 +136,8 @@ class Pseudonyms:
 
     def phone(self, text: str) -> str | None:
         """The country code stays; in the North American plan area and exchange keep
-        a first digit from 2 to 9."""
+        a first digit from 2 to 9.  Ten-digit numbers outside that plan are permuted
+        among themselves."""
         digits = re.sub("[^0-9]", "", text)
         code = re.match(r"\+([0-9]+)", text)
         prefix = ""
@@ -143,16 +145,16 @@ class Pseudonyms:
             prefix = "1" if digits[0] == "1" else code[1] if len(code[1]) <= 3 else digits[:2]
             if len(digits) < 8 or len(digits) > 15:
                 return None
-        own = digits[len(prefix):]
-        sizes, low = [10] * len(own), [0] * len(own)
-        if (not code or prefix == "1") and len(own) == 10:
-            for at in (0, 3):
-                sizes[at], low[at] = 8, 2
-        values = [int(c) - m for c, m in zip(own, low)]
-        if min(values) < 0:
-            return None
-        new = self._digits(f"phone {prefix}", values, sizes)
-        return self._fill(text, prefix + "".join(str(d + m) for d, m in zip(new, low)))
+        own = [int(c) for c in digits[len(prefix):]]
+        north = (not code or prefix == "1") and len(own) == 10
+        regular = lambda d: d[0] > 1 and d[3] > 1
+        if north and regular(own):
+            low = [2 if at in (0, 3) else 0 for at in range(10)]
+            new = self._digits(f"phone {prefix}", [c - m for c, m in zip(own, low)], [10 - m for m in low])
+            return self._fill(text, prefix + "".join(str(d + m) for d, m in zip(new, low)))
+        fits = (lambda v: not regular(_unpack(v, sizes))) if north else lambda v: True
+        sizes = [10] * len(own)
+        return self._fill(text, prefix + "".join(map(str, self._digits(f"phone {prefix}", own, sizes, fits))))
 
     def ssn(self, text: str) -> str | None:
         area, group, serial = map(int, text.split("-"))
