@@ -52,6 +52,34 @@ def test_boilerplate_without_an_article_element():
     assert page_text(page(1), set(main_slots(wrapper))) == "Title 1\nA <b> text 1 goes on."
 
 
+def test_constants_options_and_groups_inside_an_article():
+    def page(n):
+        more = "<h3>Editor's choice</h3>" if n % 2 else ""
+        return (f"<body><article><div class=lead>Read by our members</div><h1>Title {n}</h1><p>Text {n}<p>goes on {n}{more}"
+                f"<ul><li><b>Print</b><i>Word {n}</i></ul><dl><dt>Source<dd>Paper {n}<dt>Source<dd>Book {n}</dl></article></body>")
+    wrapper = infer([page(i) for i in range(5)])
+    assert page_text(page(1), set(main_slots(wrapper))) == (
+        "Title 1\nText 1\ngoes on 1\nPrintWord 1\nPaper 1\nBook 1")
+    # copies of one page tell nothing, whatever stands around the article
+    copies = [f"<body><div>Visit {n}</div>{page(1)}</body>" for n in range(3)] + ["<body><p>other</body>"]
+    assert page_text(copies[0], set(main_slots(infer(copies)))).startswith("Read by our members\nTitle 1")
+
+
+def test_a_host_with_two_templates(spark):
+    def article(n):
+        return f"<body><nav>Menu</nav><article><h1>Title {n}</h1><p>Text {n}</article><p>All rights reserved</p></body>"
+
+    def plain_page(n):
+        return (f"<body><nav>Menu</nav><div class=content><h2>Head {n}</h2><p>Body {n}</div><ul><li><a href=x>Link {n}</a></ul>"
+                "<p>All rights reserved</p></body>")
+    rows = [(i, url, article(i) if i % 2 else plain_page(i)) for i, url in
+            enumerate(["http://a.org/x"] * 6 + [None, "/relative", None, "no host"])]
+    pages = spark.createDataFrame([(*r, "h", 1, "s", "p", "r") for r in rows], PAGE)
+    for r in html_extraction.main_texts(pages).collect():
+        i = r["page_id"]
+        assert r["text"] == (f"Title {i}\nText {i}" if i % 2 else f"Head {i}\nBody {i}")
+
+
 def test_html_edges(spark):
     rows = [(1, "http://a.org/x", None), (2, None, "<p>Hi &amp; bye"), (3, "no host", ""), (4, "http://a.org/y", "<article><p>T" + "x" * 300_000),
             (4, "http://a.org/y", "<article><p>T" + "x" * 300_000), (5, "http://b.org", "just text < 3 &bogus; &#x41;"),

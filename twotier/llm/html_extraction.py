@@ -4,17 +4,20 @@ A page is a stream of tags and texts; the stream of a page, as a tree of block e
 with their texts, is aligned step by step with those of the other pages of its host.
 Mismatching texts become text slots, elements that one side lacks become optional, and
 runs of alike elements or element groups become repeated groups: the result is the host's
-wrapper, a regular expression without unions.  The wrapper's slots inside the article are
-the main text; menus, notices and the like are told by their element, class or role, and on
-hosts without an article element also by constant text and by links.
+wrapper, a regular expression without unions.  Its slots are the main text; menus, notices
+and the like are told by their element, class or role, by constant text (also in optional
+items and repeated groups) and, outside an article element, by links.  A page with slots
+inside an article has these as its text, another page of the host the ones it has elsewhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -164,28 +167,24 @@ def _close(stack: list[Element], tags: set[str], scope: set[str]) -> None:
 
 
 # A wrapper is a list of items [key, repeated, optional, content]: for the key "#" the content
-# is [constant text or null for a slot, link share, pages that have the constant]; for another key it is a wrapper; a group
-# of items that repeat together has the key "()".
-
-def wrapper_of(element: Element) -> list:
-    """The wrapper of one page: its tree with runs of alike siblings folded."""
+# is [constant text or null for a slot, link share, the smallest two marks of pages that have the constant]; for another
+# key it is a wrapper; a group of items that repeat together has the key "()".
+
+def wrapper_of(element: Element, mark: int | None = None) -> list:
+    """The wrapper of one page: its tree with runs of alike siblings folded.  Pages of
+    the same main text, by their own tree, have the same ``mark`` and count as one."""
+    if mark is None:
+        own = list(texts_of(element))
+        words = [t for _, inside, t in own if inside] or [t for _, _, t in own]
+        digest = hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=6)
+        mark = int.from_bytes(digest.digest(), "little")
     items = []
     for part in element.parts:
         if isinstance(part, tuple):
-            items.append(["#", False, False, [*part, 1]])
+            items.append(["#", False, False, [*part, [mark]]])
         else:
-            items.append([part.key, False, False, wrapper_of(part)])
-    return _once(fold(items, set()))
-
-
-def _once(items: list) -> list:
-    """What stands several times on one page is a constant of one page."""
-    for key, _, _, content in items:
-        if key == "#":
-            content[2] = 1
-        elif key == "()":
-            _once(content)
-    return items
+            items.append([part.key, False, False, wrapper_of(part, mark)])
+    return fold(items, set())
 
 
 def _shape(item: list) -> str:
@@ -225,7 +224,7 @@ def _join(a: list, b: list) -> list:
     """Two items of one shape as one."""
     if a[0] == "#":
         same = a[3][0] is not None and a[3][0] == b[3][0]
-        content = [a[3][0] if same else None, min(a[3][1], b[3][1]), a[3][2] + b[3][2] if same else 0]
+        content = [a[3][0] if same else None, min(a[3][1], b[3][1]), sorted({*a[3][2], *b[3][2]})[:2] if same else []]
     else:
         content = align(a[3], b[3])
     return [a[0], a[1] or b[1], a[2] or b[2], content]
@@ -266,6 +265,7 @@ def merged(a: list, b: list) -> list:
     return a if a == b else align(a, b)
 
 
+@lru_cache(10_000)
 def _banned(key: str) -> bool:
     """True for an element that holds no main text by its tag, class words, id or role."""
     tag = re.split(r"[.#@]", key, maxsplit=1)[0]
@@ -281,47 +281,49 @@ def _banned(key: str) -> bool:
     return False
 
 
+def _article(key: str) -> bool:
+    return re.split(r"[.#@]", key, maxsplit=1)[0] in ("article", "main") or key.endswith("@main")
+
+
+def texts_of(element: Element, path: str = "", inside: bool = False) -> Iterator[tuple[str, bool, str]]:
+    """The texts of a page outside banned elements: path, whether an article (or main)
+    element holds it, and text."""
+    for part in element.parts:
+        if isinstance(part, tuple):
+            yield path, inside, part[0]
+        elif not _banned(part.key):
+            yield from texts_of(part, f"{path}/{part.key}", inside or _article(part.key))
+
+
 def main_slots(wrapper: list) -> list[str]:
-    """The paths of the wrapper's texts that are main text.  A path is the keys from the
-    root; a constant text that is no main text is the path with the text appended.  With
-    an article (or main) element these are its texts; without one, all texts outside banned
-    elements that are no constants of several pages and no lists of links."""
+    """The paths of the wrapper's texts that are main text: all texts outside banned
+    elements that are no constants of several pages and, outside an article (or main)
+    element, no lists of links.  A path is the keys from the root; a constant text that
+    is no main text is the path with the text appended."""
     texts: list[tuple[str, bool, list]] = []
-    regions: set[str] = set()
 
-    def walk(items: list, path: str, inside: str) -> None:
+    def walk(items: list, path: str, inside: bool) -> None:
         for key, _, _, content in items:
             if key == "#":
-                texts.append((path, bool(inside), content))
+                texts.append((path, inside, content))
             elif key == "()":
                 walk(content, path, inside)
             elif not _banned(key):
-                tag = re.split(r"[.#@]", key, maxsplit=1)[0]
-                now = inside or (tag if tag in ("article", "main") or key.endswith("@main") else "")
-                regions.add(now)
-                walk(content, f"{path}/{key}", now)
-
-    walk(wrapper, "", "")
-    if regions - {""}:
-        return sorted({path for path, inside, _ in texts if inside})
-    fixed = {(path, constant) for path, _, (constant, _, pages) in texts if constant is not None and pages > 1}
-    keep = {path for path, _, (constant, links, _) in texts if links < 0.6 and (path, constant) not in fixed}
+                walk(content, f"{path}/{key}", inside or _article(key))
+
+    walk(wrapper, "", False)
+    fixed = {(path, constant) for path, _, (constant, _, marks) in texts if constant is not None and len(marks) > 1}
+    keep = {path for path, inside, (constant, links, _) in texts
+            if (inside or links < 0.6) and (path, constant) not in fixed}
     return sorted(keep | {f"{path}\n{constant}" for path, constant in fixed if path in keep})
 
 
 def page_text(page: str | None, slots: set[str]) -> str:
-    """The texts of a page that its host's slots hold, one block a line."""
-    out = []
-
-    def walk(element: Element, path: str) -> None:
-        for part in element.parts:
-            if not isinstance(part, tuple):
-                walk(part, f"{path}/{part.key}")
-            elif path in slots and f"{path}\n{part[0]}" not in slots:
-                out.append(part[0])
-
-    walk(parse(page), "")
-    return "\n".join(out)
+    """The texts of a page that its host's slots hold, one block a line: those inside an
+    article (or main) element, or all of them on a page without any there."""
+    found = [(inside, text) for path, inside, text in texts_of(parse(page))
+             if path in slots and f"{path}\n{text}" not in slots]
+    return "\n".join([text for inside, text in found if inside] or [text for _, text in found])
 
 
 WRAPPERS = "host string, wrapper string, pages bigint"
