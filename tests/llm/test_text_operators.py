@@ -148,6 +148,22 @@ def test_ten_digit_phones_stay_different():
     assert all((a[4] > "1" and a[9] > "1") == (b[4] > "1" and b[9] > "1") for a, b in zip(numbers, new))
 
 
+@pytest.mark.parametrize("value,after,kind", [
+    ("DE89 3704 0044 0532 0130 00", " EUR 500", "iban"), ("GB82 WEST 1234 5698 7654 32", " GBP 20 NOW", "iban"),
+    ("4111 1111 1111 1111", " 123", "card"), ("4111-1111-1111-1111", "-123", "card"), ("4111 1111 1111 1111", " 12/25", "card"),
+    ("2020-01-01", "T10:00:00Z", "date"), ("+49 30 1234567", " 2024 2025 2026", "phone")])
+def test_a_value_before_further_tokens_is_found(value, after, kind):
+    text = f"see {value}{after}."
+    for key in (b"k%d" % n for n in range(30)):
+        new, spans = pii.Pseudonyms(key).replace(text)
+        assert spans[0][0] == kind and value not in new and len(new) == len(text)
+        if kind != "phone":  # a phone of up to 15 digits takes the tokens that it can
+            assert spans == [(kind, 4, 4 + len(value))] and new.endswith(f"{after}.")
+            assert pii.Pseudonyms(key).replace(value)[0] == new[4:4 + len(value)]  # equal values, equal pseudonyms
+        assert pii.Pseudonyms(key).replace(new)[1] == spans
+        assert pii.Pseudonyms(key, backwards=True).replace(new)[0] == text
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         f = pii.Feistel(b"k", "x", size)

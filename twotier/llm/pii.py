@@ -92,12 +92,15 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
-            r"(?![\w/-]|\.[0-9])",
+            r"(?:(?=[Tt][0-9]{2})|(?![\w/-]|\.[0-9]))",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w]|[.-][0-9])"
              r"|(?<![\w.+-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![\w]|[.-][0-9])",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9])",
 }
+#: What separates the tokens of a value: where the longest match does not validate, it
+#: may be a value and further tokens (a check code, an expiry, an amount).
+TOKENS = {"iban": " ", "phone": " .-", "card": " -"}
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _HINT = re.compile(r"[0-9@]")
 
@@ -127,12 +130,20 @@ class Pseudonyms:
         return "".join(next(new) if c.isdigit() else c for c in shape)
 
     def card(self, text: str) -> str | None:
+        """A pseudonym keeps the sum that decides whether the card and an odd number of
+        digits after it validate together, so that it is read as far as its value."""
         digits = re.sub("[ -]", "", text)
         if _luhn(digits) or digits[0] == "0":
             return None
-        own = self._digits("card", [int(digits[0]) - 1, *map(int, digits[1:-1])], [9] + [10] * (len(digits) - 2))
-        out = "".join(map(str, [own[0] + 1, *own[1:]]))
-        return self._fill(text, out + str(-_luhn(out + "0") % 10))
+        sizes, after = [9] + [10] * (len(digits) - 2), _luhn(digits + "0")
+
+        def whole(own: list[int]) -> str:
+            out = "".join(map(str, [own[0] + 1, *own[1:]]))
+            return out + str(-_luhn(out + "0") % 10)
+
+        own = [int(digits[0]) - 1, *map(int, digits[1:-1])]
+        return self._fill(text, whole(self._digits("card", own, sizes,
+                                                   lambda v: _luhn(whole(_unpack(v, sizes)) + "0") == after)))
 
     def phone(self, text: str) -> str | None:
         """The country code stays; in the North American plan area and exchange keep
@@ -174,15 +185,27 @@ class Pseudonyms:
         return ".".join(str(d + m) for d, m in zip(new, low))
 
     def iban(self, text: str) -> str | None:
+        """Country and check digits stay, and with them the remainder that decides whether
+        the number and the tokens after it validate together."""
         whole = text.replace(" ", "")
         number = lambda s: int("".join(str(int(c, 36)) for c in s))
         if number(whole[4:] + whole[:4]) % 97 != 1:
             return None
         country, own = whole[:2], whole[4:]
-        sizes = [10 if c.isdigit() else 26 for c in own]
-        new = self._digits(f"iban {country}", [int(c) if c.isdigit() else ord(c) - 65 for c in own], sizes)
-        out = "".join(str(d) if n == 10 else chr(65 + d) for d, n in zip(new, sizes))
-        signs = iter(f"{country}{98 - number(out + country + '00') % 97:02d}{out}")
+        rest = number(own) % 97
+        if own.isdigit():  # every 97th number has this remainder
+            size = -(-(10 ** len(own) - rest) // 97)
+            new = self._permute(f"iban {country} {len(own)} {rest}", size, (int(own) - rest) // 97)
+            out = f"{new * 97 + rest:0{len(own)}d}"
+        else:
+            sizes = [10 if c.isdigit() else 26 for c in own]
+
+            def written(digits: list[int]) -> str:
+                return "".join(str(d) if n == 10 else chr(65 + d) for d, n in zip(digits, sizes))
+
+            out = written(self._digits(f"iban {country}", [int(c) if c.isdigit() else ord(c) - 65 for c in own], sizes,
+                                       lambda v: number(written(_unpack(v, sizes))) % 97 == rest))
+        signs = iter(whole[:4] + out)
         return "".join(c if c == " " else next(signs) for c in text)
 
     def date(self, text: str) -> str | None:
@@ -230,6 +253,17 @@ class Pseudonyms:
         new = iter(self._digits("email", values, [k[1] for k in kinds if k]))
         return "".join(chr(next(new) + ord(k[0])) if k else c for c, k in zip(own, kinds)) + "." + top
 
+    def _longest(self, kind: str, text: str, start: int, end: int) -> tuple[str | None, int]:
+        """The pseudonym of the longest valid value from ``start`` that ends at ``end`` or
+        at a token before it, and its end; None without one."""
+        new = getattr(self, kind)(text[start:end])
+        for cut in range(end - 1, start, -1) if new is None and kind in TOKENS else ():
+            if text[cut] in TOKENS[kind] and _ONE[kind].fullmatch(text, start, cut):
+                new = getattr(self, kind)(text[start:cut])
+                if new is not None:
+                    return new, cut
+        return new, end
+
     def replace(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in the new text."""
         if not text or not _HINT.search(text):
@@ -237,13 +271,14 @@ class Pseudonyms:
         out, spans, at, size, found = [], [], 0, 0, _ANY.search(text)
         while found:
             kind, start, end = found.lastgroup, found.start(), found.end()
-            new = getattr(self, kind)(found[0])
+            new, end = self._longest(kind, text, start, end)
             if new is None:  # another kind may begin at the same place
                 for kind in list(PATTERNS)[list(PATTERNS).index(kind) + 1:]:
                     other = _ONE[kind].match(text, start)
-                    if other and (new := getattr(self, kind)(other[0])) is not None:
-                        end = other.end()
-                        break
+                    if other:
+                        new, end = self._longest(kind, text, start, other.end())
+                        if new is not None:
+                            break
             if new is None:
                 end = start + 1
                 found = _ANY.search(text, end)
@@ -265,7 +300,8 @@ def pseudonymized(docs: DataFrame, key: bytes = DEMO_KEY, backwards: bool = Fals
     the values again.
 
     Every whole text is read.  A null text stays null and an empty one empty, without
-    spans.  Overlapping values go to the leftmost, then to the first kind of PATTERNS.  Repeated
+    spans.  Overlapping values go to the leftmost, then to the first kind of PATTERNS, then to
+    the longest that validates.  Repeated
     rows and null ids are rows like others; an empty table gives an empty result.
     """
     def make():
