@@ -11,10 +11,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _register() -> None:
-    from . import (best_fit_packing, decontamination, fingerprints, html_extraction, language_id, near_dedup, pii,
-                   secret_scan, toxicity, url_filter)
+    from . import (best_fit_packing, decontamination, fill_in_middle, fingerprints, html_extraction, language_id, near_dedup,
+                   ngram_join, pii, secret_scan, spelling_variants, toxicity, url_filter)
     for module in (language_id, html_extraction, decontamination, toxicity, best_fit_packing, secret_scan, url_filter, pii,
-                   near_dedup, fingerprints):
+                   near_dedup, fingerprints, fill_in_middle, ngram_join, spelling_variants):
         QUERIES[module.QUERY] = module.query
         if getattr(module, "SQL", None):
             ORACLE_SQL[module.QUERY] = module.SQL
