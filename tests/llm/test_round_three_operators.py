@@ -159,6 +159,27 @@ def test_block_product_counts_exactly():
     assert 0 < got.sum() < wanted.sum()
 
 
+def test_spanning_links_connect_as_much():
+    draw = np.random.default_rng(7)
+    for share in (0.01, 0.05, 0.5):
+        links = draw.random((30, 40)) < share
+        few = ngram_join.spanning(links)
+        assert len(few) < 70 and all(links[i, j] for i, j in few)
+
+        def roots(pairs):
+            parent = list(range(70))
+
+            def root(i):
+                while parent[i] != i:
+                    i = parent[i]
+                return i
+            for i, j in pairs:
+                x, y = sorted((root(int(i)), root(30 + int(j))))
+                parent[y] = x
+            return [root(i) for i in range(70)]
+        assert roots(few) == roots(zip(*np.nonzero(links)))
+
+
 # --- spelling variants ---
 
 def brute_variants(rows):

@@ -1,17 +1,20 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Rows of the matrix are the distinct shingle sets, columns the shingles.  Size-derived bounds
-cut the product: a row of n shingles can only link with a row that shares one of the first
-n - ceil(0.85 n) + 1 columns in any order of the columns that all rows follow.  The order is
+cut the product.  Sets of n shingles that link share at least s of their first
+n - ceil(0.85 n) + s columns, in any order of the columns that all rows follow; the order is
 by a count of each column's rows (a table of fixed size, so rare columns come first), then by
-hash.  Only those entries, and of them only columns of two rows or more, are multiplied.
-
-Equal sets are one row from the start.  In each column every row is first multiplied with the
-smallest one, then with a pivot of the column's largest component; what is still in
-different components goes to the product in blocks of rows: column ranges are multiplied one
-after the other, overlap counts accumulate, and pairs whose count plus all they have left
-stays below what their sizes need are dropped.  A pair is multiplied only in a column that is
-the largest open one of its rows, and a block puts out one link for each two components.
+hash, and s grows with n.  So only those entries, only columns of two rows or more, and
+only rows with enough of these columns are multiplied.
+
+Equal sets are one row from the start, and columns of equal members one column.  A row of a
+column of more than a block is first multiplied with the representative (a column's smallest
+row) that shares most of its columns, then with such a pivot of a larger component.  What
+is still in different components goes to the product in blocks of rows: column ranges are
+multiplied one after the other, overlap counts accumulate, and pairs whose count plus all they
+have left stays below what their sizes need are dropped.  A pair is multiplied in the largest
+open column of its rows if they agree on it, or rows that columns connect are blocked as one
+where that ships fewer rows.  A block puts out the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -30,12 +33,18 @@ from .words import shingle_hashes, word_hashes
 QUERY = "op12_ngram_join"
 SHINGLE = 4
 PERCENT = 85
+#: Sets that link share one of their first columns, and one more for each so many shingles.
+SHARED_EACH = 32
 #: Counters of the column counts, as a power of two, and how many of them a row carries.
 COUNTER_BITS = 22
 COUNTER_ROW = 4096
+#: Rows that one task multiplies with one representative.
+STAR = 4096
 #: Rows on each side of a block, and columns that are multiplied at a time.
-BLOCK = 256
+BLOCK = 512
 COLUMNS = 2048
+#: Rows fetched by a broadcast of their ids; more are fetched by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Shingles that a task gathers before it counts them.
 COUNT_AT = 2_000_000
 
@@ -50,6 +59,17 @@ def least_overlap(n, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def least_shared(n: int) -> int:
+    """How many of their first columns sets link by: at least so many where the smaller has
+    n shingles."""
+    return 1 + n // SHARED_EACH
+
+
+def first_columns(n: int, percent: int = PERCENT) -> int:
+    """How many of the first columns of a set of n shingles are kept."""
+    return min(n, n - (-(-percent * n // 100)) + least_shared(n))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, k1, k2) of the texts' set sizes and keys, and rows (part, counts)
     of the tasks' column counts."""
@@ -125,8 +145,8 @@ def column_classes(scanned: DataFrame) -> np.ndarray:
 
 
 def entries(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """The entries (col, k1) of the matrix that the size bound leaves: of each set the
-    first n - ceil(percent n / 100) + 1 columns in the common order."""
+    """The entries (col, k1) of the matrix that the size bound leaves: the first columns of
+    each set in the common order."""
     shift = np.uint64(64 - COUNTER_BITS)
 
     def make():
@@ -136,7 +156,7 @@ def entries(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
                 row = shingle_row(text)
                 if not len(row) or i is None:
                     continue
-                first = len(row) - (-(-percent * len(row) // 100)) + 1
+                first = first_columns(len(row), percent)
                 place = (classes[row >> shift].astype(np.uint64) << np.uint64(56)) | (row >> np.uint64(8))
                 cols.append(row[np.argsort(place, kind="stable")[:first]])
                 keys.append(np.full(first, set_keys(row)[0], np.int64))
@@ -183,6 +203,23 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray
     return alive & (count >= need)
 
 
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between rows and columns of a matrix those that connect as much as all
+    do: fewer than it has rows and columns."""
+    out, rows, columns = [], np.ones(links.shape[0], bool), np.ones(links.shape[1], bool)
+    for first in np.flatnonzero(links.any(axis=1)).tolist():
+        if not rows[first]:
+            continue
+        rows[first], todo = False, [(True, first)]
+        while todo:
+            is_row, i = todo.pop()
+            new = np.flatnonzero(links[i] & columns) if is_row else np.flatnonzero(links[:, i] & rows)
+            (columns if is_row else rows)[new] = False
+            out += [(i, j) if is_row else (j, i) for j in new.tolist()]
+            todo += [(not is_row, j) for j in new.tolist()]
+    return out
+
+
 def linked_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id (the smallest doc_id
     reachable over links of 100 * overlap >= percent * union, itself included).
@@ -199,26 +236,28 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = kept(sizes.where("k1 is not null").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("cid"), F.first("n").alias("n")), "sets")
 
-    matrix = entries(docs, column_classes(scanned), percent)
+    matrix = kept(entries(docs, column_classes(scanned), percent), "entries")
     columns = matrix.groupBy("col").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y").select("col")
-    members = matrix.join(columns, "col").distinct().join(sets.select("k1", "cid", "n"), "k1").select("col", "cid", "n")
-    members = kept(members, "members")
-    reps = members.groupBy("col").agg(F.min("cid").alias("rep"), F.min_by("n", "cid").alias("m"), F.count("*").alias("members"))
-    members = kept(members.join(reps, "col"), "columns")
+    members = _different_columns(kept(matrix.join(columns, "col").distinct(), "members"), "k1")
+    members = kept(members.join(sets.select("k1", "cid", "n"), "k1").select("col", "weight", "cid", "n"), "members")
+    members = kept(_enough_shared(members, "cid", percent), "members")
     rows = kept(_rows(docs, members.select("cid").distinct()).distinct(), "rows")
-    edges = [_repeated_ids(sizes, sets)]
+    edges = [kept(_repeated_ids(sizes, sets), "links")]
 
-    def labelled(links: DataFrame) -> DataFrame:
-        edges.append(kept(links, "links"))
+    def labelled(*links: DataFrame) -> DataFrame:
+        edges.extend(kept(more, "links") for more in links)
         out = edges[0]
         for more in edges[1:]:
             out = out.union(more)
         return kept(components(out), "labels")
 
-    labels = labelled(_multiply(members.where("cid != rep").select(
-        F.col("cid").alias("a"), "n", F.col("rep").alias("b"), "m"), rows, percent))
-    labels = labelled(_multiply(_pivots(_open(members, labels)), rows, percent))
-    labels = labelled(_blocks(_open(members, labels), rows, percent))
+    labels = labelled()
+    large = members.groupBy("col").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("col")
+    large = kept(members.join(large, "col", "left_semi"), "large")
+    if not large.isEmpty():  # smaller columns are one block
+        labels = labelled(_multiply(_representatives(large, percent), rows, percent))
+        labels = labelled(_multiply(_pivots(_open(large, labels, percent), percent), rows, percent))
+    labels = labelled(_blocks(_homes(_open(members, labels, percent)), rows, percent))
 
     named = sets.select("k1", "k2", "cid").join(labels, F.col("cid") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("label", "cid").alias("component_id"))
@@ -228,13 +267,39 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked.select(*out).union(alone.select(*out))
 
 
+def _different_columns(members: DataFrame, of: str) -> DataFrame:
+    """Of columns with the same members (``of``) the smallest one, with their number as its weight."""
+    sets = members.groupBy("col").agg(F.count("*").alias("size"), F.sum(F.xxhash64(of) % (1 << 40)).alias("x"),
+                                      F.bit_xor(F.xxhash64(F.lit(7), of)).alias("y"))
+    one = sets.groupBy("size", "x", "y").agg(F.min("col").alias("col"), F.count("*").alias("weight"))
+    return members.drop("weight").join(one.select("col", "weight"), "col")
+
+
+def _enough_shared(members: DataFrame, of: str, percent: int) -> DataFrame:
+    """The members that can link: those in as many columns that hold two values of ``of`` or
+    more as the smallest set that they may link with needs."""
+    smallest = F.ceil(F.min("n") * percent / 100)
+    for _ in range(2):  # each round leaves fewer; any number of them loses no link
+        several = members.groupBy("col").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x != y").select("col")
+        members = members.join(several, "col", "left_semi")
+        able = members.groupBy("cid").agg(F.sum("weight").alias("shared"), (1 + F.floor(smallest / SHARED_EACH)).alias("need"))
+        members = kept(members.join(able.where("shared >= need").select("cid"), "cid", "left_semi"), "able")
+    several = members.groupBy("col").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x != y").select("col")
+    return members.join(several, "col", "left_semi")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if its size is small, else left to a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, row): the matrix rows of the wanted documents."""
     def make():
         return lambda ids, texts: [ids, [shingle_row(t).tobytes() for t in texts]]
 
-    return map_rows(docs.join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi"), ["doc_id", "text"], make,
-                    "cid bigint, row binary")
+    wanted = kept(wanted.withColumnRenamed("cid", "doc_id"), "wanted")
+    return map_rows(docs.join(_sent(wanted), "doc_id", "left_semi"), ["doc_id", "text"], make, "cid bigint, row binary")
 
 
 def _repeated_ids(sizes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,53 +311,118 @@ def _repeated_ids(sizes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _multiply(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a of n, b of m shingles): rows of one b, a column vector of
-    the product, follow each other."""
-    possible = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    pairs = kept(pairs.where(possible).select("a", "b").distinct(), "pairs")
-    both = (pairs.join(rows.select(F.col("cid").alias("a"), F.col("row").alias("row_a")), "a")
-            .join(rows.select(F.col("cid").alias("b"), F.col("row").alias("row_b")), "b"))
+    """The links among pairs (a, b): the rows of one b, a column vector of the product, come
+    to one place, in shares of bounded size that each have b's own row first."""
+    pairs = kept(pairs, "pairs")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("shares"))
+    own = shares.select("b", F.col("b").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"),
+                        F.lit(0).alias("leaf"))
+    leaves = pairs.join(shares, "b").select("b", F.col("a").alias("cid"), F.pmod(F.xxhash64("a"), "shares").cast("int").alias("share"),
+                                            F.lit(1).alias("leaf"))
+    both = rows.join(_sent(kept(own.union(leaves), "stars")), "cid").select("b", "share", "leaf", "cid", "row")
+    schema = rows.sparkSession.createDataFrame([], "a bigint, b bigint").schema
 
-    def make():
-        def work(a, b, row_a, row_b):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, right = None, []
+        for batch in batches:
+            b, share, leaf, cid = (batch.column(i).to_pylist() for i in range(4))
+            row = [np.frombuffer(r, np.uint64) for r in batch.column(4).to_pylist()]
             out, start = [], 0
-            for end in range(1, len(b) + 1):
-                if end < len(b) and row_b[end] == row_b[start]:
-                    continue
-                right = np.frombuffer(row_b[start], np.uint64)
-                left = [np.frombuffer(r, np.uint64) for r in row_a[start:end]]
-                n = np.array([len(r) for r in left])
-                flat = np.concatenate(left)
-                at = np.minimum(np.searchsorted(right, flat), len(right) - 1)
-                count = np.add.reduceat((right[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
-                for i in np.flatnonzero(count >= least_overlap(n, len(right), percent)).tolist():
-                    out.append((a[start + i], b[start + i]))
+            while start < len(b):
+                end = start + 1
+                while end < len(b) and (b[end], share[end]) == (b[start], share[start]):
+                    end += 1
+                if (b[start], share[start]) != now:
+                    now, right = (b[start], share[start]), []
+                while start < end and not leaf[start]:
+                    right.append(row[start])
+                    start += 1
+                if start < end:
+                    n = np.array([len(r) for r in row[start:end]])
+                    flat, begin = np.concatenate(row[start:end]), np.cumsum(n) - n
+                    for r in right:
+                        at = np.minimum(np.searchsorted(r, flat), len(r) - 1)
+                        count = np.add.reduceat((r[at] == flat).astype(np.int64), begin)
+                        out += [(cid[start + i], b[start]) for i in np.flatnonzero(count >= least_overlap(n, len(r), percent)).tolist()]
                 start = end
-            return [[r[0] for r in out], [r[1] for r in out]]
-        return work
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": [o[0] for o in out], "b": [o[1] for o in out]})
 
-    return map_rows(both, ["a", "b", "row_a", "row_b"], make, "a bigint, b bigint")
+    return (both.repartition(shuffle_partitions(rows.sparkSession), "b", "share")
+            .sortWithinPartitions("b", "share", "leaf").mapInArrow(run, schema))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the columns of three or more that still hold several components (a column
-    of two has had its only pair multiplied), with the largest open column of each."""
-    named = members.where("members > 2").join(labels, F.col("cid") == F.col("node"), "left").select(
-        "col", "members", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    several = named.groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-    still = kept(named.join(several.select("col"), "col", "left_semi"), "open")
-    first = still.groupBy("cid").agg(F.max(F.struct("members", "col")).alias("top"))
-    return kept(still.join(first.select("cid", F.col("top.col").alias("home")), "cid"), "homes")
+def _representatives(members: DataFrame, percent: int) -> DataFrame:
+    """Each member with the smallest member of its columns that it shares most columns with."""
+    reps = members.groupBy("col").agg(F.min(F.struct("cid", "n")).alias("rep"))
+    return _most_shared(members.join(reps, "col"), percent)
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """Each member outside the column's largest component, with one member of that one that
-    the hash of (column, member) picks: another one in each column."""
+def _pivots(members: DataFrame, percent: int) -> DataFrame:
+    """Each member outside the largest components of its columns with that pivot of one that
+    it shares most columns with; a pivot is the member of the smallest hash."""
     sizes = members.groupBy("col", "label").agg(
-        F.count("*").alias("size"), F.min_by(F.struct("cid", "n"), F.xxhash64("col", "cid")).alias("pivot"))
-    top = sizes.groupBy("col").agg(F.max(F.struct("size", "label", "pivot")).alias("top"))
-    return (members.join(top, "col").where("label != top.label")
-            .select(F.col("cid").alias("a"), "n", F.col("top.pivot.cid").alias("b"), F.col("top.pivot.n").alias("m")))
+        F.count("*").alias("size"), F.min_by(F.struct("cid", "n"), F.xxhash64("cid")).alias("rep"))
+    top = sizes.groupBy("col").agg(F.max(F.struct("size", "label", "rep")).alias("top"))
+    return _most_shared(members.join(top, "col").where("label != top.label").withColumn("rep", F.col("top.rep")), percent)
+
+
+def _most_shared(members: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) for each member a: of the ``rep``s that sizes allow the one of most columns."""
+    possible = 100 * F.least("n", "rep.n") >= percent * F.greatest("n", "rep.n")
+    pairs = members.where((F.col("cid") != F.col("rep.cid")) & possible).groupBy("cid", F.col("rep.cid").alias("b")).agg(
+        F.sum("weight").alias("shared"))
+    best = pairs.groupBy("cid").agg(F.min(F.struct((-F.col("shared")).alias("most"), "b")).alias("best"))
+    return best.select(F.col("cid").alias("a"), F.col("best.b").alias("b"))
+
+
+def _open(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Members that may have links to another component, in the columns that still hold
+    several components."""
+    named = members.join(labels, F.col("cid") == F.col("node"), "left").select(
+        "col", "weight", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    return kept(_enough_shared(kept(named, "named"), "label", percent), "open")
+
+
+def _homes(members: DataFrame) -> DataFrame:
+    """Members of the columns that differ, with the largest column of each as its home."""
+    still = kept(_different_columns(members, "cid"), "columns")
+    sizes = still.groupBy("col").agg(F.count("*").alias("members"))
+    first = still.join(sizes, "col").groupBy("cid").agg(F.max(F.struct("members", "col")).alias("top"))
+    return kept(still.join(first.select("cid", F.col("top.col").alias("home")), "cid"), "homes")
+
+
+def _cheaper(members: DataFrame) -> DataFrame:
+    """Members with the sides and blocks that they stand in: column by column, or, where this
+    ships fewer rows, all members that are connected by columns as one column."""
+    stars = members.groupBy("col").agg(F.min("cid").alias("b"))
+    groups = kept(components(members.join(stars, "col").select(F.col("cid").alias("a"), "b")), "groups")
+    groups = groups.select("node", F.col("label").alias("connected"))
+    members = kept(members.join(groups, F.col("cid") == F.col("node"), "left").select(
+        "col", "cid", "label", "home", F.coalesce("connected", "cid").alias("connected")), "connected")
+
+    def blocks(count: str):
+        return F.ceil(F.col(count) / BLOCK).cast("int")
+
+    homes = members.groupBy("connected", "col", "home").agg(F.count("*").alias("size"))
+    columns = homes.groupBy("connected", "col").agg(
+        F.sum("size").alias("rights"), F.max(F.when(F.col("col") != F.col("home"), F.struct("size", "home"))).alias("most"))
+    columns = columns.withColumn("lefts", F.col("rights") - F.coalesce("most.size", F.lit(0))).where("lefts > 0").withColumns({
+        "right_blocks": blocks("rights"), "left_blocks": blocks("lefts")})
+    shipped = columns.groupBy("connected").agg(F.sum(
+        F.when(F.col("lefts") == F.col("rights"), F.col("rights") * F.col("right_blocks"))
+        .otherwise(F.col("rights") * F.col("left_blocks") + F.col("lefts") * F.col("right_blocks"))).alias("by_column"))
+    whole = members.select("connected", "cid", "label").distinct()
+    sizes = whole.groupBy("connected").agg(F.count("*").alias("size")).withColumn("by_group", F.col("size") * blocks("size"))
+    plan = kept(shipped.join(sizes, "connected").withColumn("one", F.col("by_group") <= F.col("by_column")), "plan")
+    each = members.join(columns.join(plan.where("not one").select("connected"), "connected", "left_semi").drop("connected"), "col").select(
+        "col", "cid", "label", "home", "lefts", "rights", "left_blocks", "right_blocks",
+        (~F.coalesce(F.col("home") == F.col("most.home"), F.lit(False))).alias("both"))
+    joined = whole.join(plan.where("one").select("connected", "size"), "connected").select(
+        F.col("connected").alias("col"), "cid", "label", F.col("connected").alias("home"), F.col("size").alias("lefts"),
+        F.col("size").alias("rights"), blocks("size").alias("left_blocks"), blocks("size").alias("right_blocks"),
+        F.lit(True).alias("both"))
+    return kept(each.union(joined), "sides")
 
 
 def _blocks(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -300,13 +430,7 @@ def _blocks(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     in their common home column, or here if their homes differ.  So in a column the members
     of the most frequent other home need no product with each other: they stand on the right
     side only, and the others on both."""
-    homes = members.groupBy("col", "home").agg(F.count("*").alias("size"))
-    most = homes.where("col != home").groupBy("col").agg(F.max(F.struct("size", "home")).alias("most"))
-    sides = members.join(most, "col", "left").withColumn(
-        "both", ~F.coalesce(F.col("home") == F.col("most.home"), F.lit(False)))
-    count = sides.groupBy("col").agg(F.count("*").alias("rights"), F.count_if("both").alias("lefts"))
-    sides = sides.join(count.where("lefts > 0"), "col").withColumns({
-        "right_blocks": F.ceil(F.col("rights") / BLOCK).cast("int"), "left_blocks": F.ceil(F.col("lefts") / BLOCK).cast("int")})
+    sides = _cheaper(members)
 
     def dealt(df: DataFrame, side: int, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("cid"), F.col(f"{own}_blocks")).cast("int")
@@ -314,27 +438,33 @@ def _blocks(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         return df.withColumn(own, mine).withColumn(other, all_others).select(
             "col", "left", "right", F.lit(side).alias("side"), "cid", "label", "home")
 
-    both = dealt(sides.where("both"), 0, "left", "right").union(dealt(sides, 1, "right", "left"))
-    both = kept(both, "blocks").join(rows, "cid").select("col", "left", "right", "side", "cid", "label", "home", "row")
+    # where all members stand on both sides, blocks meet once and a block meets itself in one copy
+    same = dealt(sides.where("lefts = rights"), 0, "left", "right").select(
+        "col", F.least("left", "right").alias("l"), F.greatest("left", "right").alias("r"),
+        F.when(F.col("left") < F.col("right"), 0).when(F.col("left") > F.col("right"), 1).otherwise(2).alias("side"),
+        "cid", "label", "home")
+    other = sides.where("lefts < rights")
+    both = same.union(dealt(other.where("both"), 0, "left", "right")).union(dealt(other, 1, "right", "left"))
+    both = both.withColumnsRenamed({"l": "left", "r": "right"})
+    both = rows.join(_sent(kept(both, "blocks")), "cid").select("col", "left", "right", "side", "cid", "label", "home", "row")
     schema = members.sparkSession.createDataFrame([], "a bigint, b bigint").schema
 
-    def multiply(group: pa.Table) -> dict[tuple[int, int], tuple[int, int]]:
+    def multiply(group: pa.Table) -> list[tuple[int, int]]:
         side = group.column("side").to_numpy()
         cid, label, home = (group.column(c).to_numpy() for c in ("cid", "label", "home"))
         matrix = [np.frombuffer(r, np.uint64) for r in group.column("row").to_pylist()]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
-            return {}
+            return []
         here = home == group.column("col")[0].as_py()
         wanted = label[left][:, None] != label[right][None, :]
         wanted &= (home[left][:, None] != home[right][None, :]) | here[left][:, None]
         links = overlaps([matrix[i] for i in left], [matrix[i] for i in right], wanted, percent)
-        return {(int(label[i]), int(label[j])): (int(cid[i]), int(cid[j]))
-                for i, j in ((left[x], right[y]) for x, y in zip(*np.nonzero(links)))}
+        return [(int(cid[left[i]]), int(cid[right[j]])) for i, j in spanning(links)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["col", "left", "right"]):
-            found = list(multiply(group).values())
+            found = multiply(group)
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]})
 
