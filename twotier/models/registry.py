@@ -4,18 +4,18 @@ A model version is a folder ``<root>/v<version>``; ``<root>/versions`` lists
 the version in use.  Readers (a streaming scorer in ``foreachBatch``) resolve
 the pointer on every micro-batch, so a newly published model is picked up at
 the next batch boundary.  Closed-form models (min-max + Gaussian NB) are
-stored as one JSON document (bounded by the feature count); Spark ML
-pipelines use their own writer.
+stored as one JSON document (bounded by the feature count); a detector of
+fitted ML models is a folder of its own (``Detector.save``).
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from ..operators.features import MinMax
+from .detector import Detector
 from .naive_bayes import GaussianNB
 
 
@@ -55,8 +55,8 @@ class Registry:
         self._write_text(f"{self.root}/v{version}", doc)
         self._announce(version)
 
-    def publish_pipeline(self, version: int, model: PipelineModel) -> None:
-        model.write().overwrite().save(f"{self.root}/v{version}")
+    def publish_detector(self, version: int, detector: Detector) -> None:
+        detector.save(self.spark, f"{self.root}/v{version}")
         self._announce(version)
 
     def _announce(self, version: int) -> None:
@@ -74,6 +74,6 @@ class Registry:
         doc = json.loads(self._read_text(f"{self.root}/v{v}"))
         return v, {name: _nb_from_dict(d) for name, d in doc.items()}
 
-    def load_pipeline(self, version: int | None = None) -> tuple[int, PipelineModel]:
+    def load_detector(self, version: int | None = None) -> tuple[int, Detector]:
         v = self.current_version() if version is None else version
-        return v, PipelineModel.load(f"{self.root}/v{v}")
+        return v, Detector.load(self.spark, f"{self.root}/v{v}")

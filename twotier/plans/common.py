@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cascade as cas
 from ..operators import labels as lb
-from ..sources.flows import flows
+from ..sources.flows import flows, lineitem_to_flows
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -24,9 +24,10 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """flows + attack_class + binary targets (narrow projections only)."""
-    f = flows(spark, sf_dir).withColumn("attack_class", lb.class_expr())
+def labelled_flows(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """flows + attack_class + binary targets (narrow projections only), of the whole table or of
+    the given part of it."""
+    f = (flows(spark, sf_dir) if lineitem is None else lineitem_to_flows(lineitem)).withColumn("attack_class", lb.class_expr())
     return lb.binary_targets(f)
 
 

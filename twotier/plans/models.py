@@ -4,6 +4,7 @@ with oracles)."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +12,12 @@ from ..functions.rates import confusion_aggs, mcc_column, r6, rate_columns
 from ..models import kernel as kn
 from ..models import prepare as pp
 from ..models import trees as tr
+from ..models.detector import Detector
 from ..models.novelty import fit_novelty
 from ..operators import cascade as cas
 from ..operators import features as fe
 from ..session import shared_path
+from ..sources import sinks
 from ..sources.flows import CATEGORICAL, load_table
 from .common import query
 from .learning import L1_FEATURES, L2_CLASSES, L2_FEATURES, split_frames
@@ -53,7 +56,6 @@ CLASSIFIERS = {
     "dt": ("dt", {"max_depth": 10, "min_samples_split": 4}),            # CLF7
     "mlp": ("mlp", {"hidden": [16], "max_iter": 100}),                   # CLF10
     "logreg": ("logreg", {"max_iter": 100}),                            # CLF13
-    "extra_trees": ("extra_trees", {"n_estimators": 30, "max_depth": 12}),  # CLF9 (variant)
 }
 for _k, (_kind, _params) in CLASSIFIERS.items():
     query(_k)(_classifier_query(_kind, _params))
@@ -64,7 +66,6 @@ def rf_importance(spark, sf_dir):
     """FEA8: random-forest importances on the numeric features, descending."""
     train, _ = split_frames(spark, sf_dir)
     mm = fe.fit_minmax(train, L1_FEATURES)
-    from pyspark.ml.feature import VectorAssembler
     x = VectorAssembler(inputCols=L1_FEATURES, outputCol="features").transform(mm.apply(train, keep=["y_l1"]))
     model = tr.fit_model(x, "rf", {"n_estimators": 30, "max_depth": 10}, y="y_l1")
     ranked = tr.feature_importance(model, L1_FEATURES)
@@ -102,50 +103,21 @@ def svm_kernel(spark, sf_dir):
     return _evaluate(scored, "svm_kernel", y="y_l2")
 
 
-def default_detector(spark, sf_dir, n_estimators: int = 50, max_depth: int = 12, landmarks: int = 32) -> DataFrame:
-    """The default detector on the test rows: per layer select, min-max,
-    one-hot, assemble and PCA (95 % of the variance), a random forest on layer
-    1, the landmark RBF SVM with probability on the layer-2 population, tagged
-    by CAS1.  Columns: flow_id, labels, l1_pred, p2, tag."""
-    from pyspark.ml.feature import VectorAssembler
-    train, test = split_frames(spark, sf_dir)
+def fit_detector(train: DataFrame, **sizes) -> Detector:
     raw = ["flow_id", "attack_class", "y_any", "y_l1", "y_l2", *CATEGORICAL, *L1_FEATURES]
-    train, test = train.select(raw), test.select(raw)
+    return Detector.fit(train.select(raw), L1_FEATURES, L2_FEATURES, L2_CLASSES, CATEGORICAL, **sizes)
 
-    mm, enc = pp.fit_prepare(train, L1_FEATURES, CATEGORICAL)
-    prepared = pp.apply_prepare(train, mm, enc)
-    pca = pp.fit_pca(prepared, "features")
-    assemble = VectorAssembler(inputCols=[f"PA{j + 1}" for j in range(pca.k)], outputCol="_pa")
-
-    def layer1(df):
-        return assemble.transform(pca.transform(pp.apply_prepare(df, mm, enc), "features", raw, prefix="PA"))
-
-    forest = tr.fit_model(layer1(train), "rf", {"n_estimators": n_estimators, "max_depth": max_depth}, features="_pa",
-                          y="y_l1")
-    scored = forest.transform(layer1(test)).select(*raw, F.col("prediction").cast("int").alias("l1_pred"))
-
-    train2 = train.where(F.col("attack_class").isin(L2_CLASSES))
-    mm2, enc2 = pp.fit_prepare(train2, L2_FEATURES, CATEGORICAL)
-    prepared2 = pp.apply_prepare(train2, mm2, enc2)
-    pca2 = pp.fit_pca(prepared2, "features")
-    names = [f"PB{j + 1}" for j in range(pca2.k)]
-    inputs = [F.col(n) for n in names]
-    svm = kn.fit_kernel_svm(pca2.transform(prepared2, "features", ["flow_id", "y_l2"], prefix="PB"), names, inputs,
-                            "y_l2", C=10.0, m=landmarks, gamma=1.0)
-    keep = ["flow_id", "attack_class", "y_any", "y_l1", "y_l2", "l1_pred"]
-    layer2 = pca2.transform(pp.apply_prepare(scored, mm2, enc2), "features", keep, prefix="PB")
-    return cas.cascade_online(svm.transform(layer2, inputs, keep).withColumnRenamed("p_svm", "p2"), "l1_pred", "p2")
-
-
-@query("rf_svm_cascade", with_base(f"""
-select count(*) as total, count(*) as l1_total, 0 as lost from lf where {TEST}"""))
+
+@query("rf_svm_cascade")
 def rf_svm_cascade(spark, sf_dir):
-    """CAS1 + CAS3 of the default detector: every test row is counted on layer
-    1, and every layer-1 negative on layer 2 or in quarantine (lost = 0)."""
-    w = cas.outcome_counts_wide(default_detector(spark, sf_dir))
-    l2 = F.col("l2_tp") + F.col("l2_fp") + F.col("l2_tn") + F.col("l2_fn")
-    return w.select("total", (F.col("l1_tp") + F.col("l1_fp") + F.col("l1_tn") + F.col("l1_fn")).alias("l1_total"),
-                    (F.col("l1_tn") + F.col("l1_fn") - l2 - F.col("quarantined")).alias("lost"))
+    """CAS1 + CAS3 of the default detector (random forest, then landmark RBF SVM, each on its
+    layer's PCA features) on the test rows: counts, rates and MCC per layer."""
+    train, test = split_frames(spark, sf_dir)
+    scored = cas.cascade_online(fit_detector(train).score(test), "l1_pred", "p2")
+    w = cas.outcome_counts_wide(scored)
+    per_layer = w.select(F.expr("stack(2, 1, l1_tp, l1_fp, l1_tn, l1_fn, quarantined, total, "
+                                "2, l2_tp, l2_fp, l2_tn, l2_fn, quarantined, total) as (layer, tp, fp, tn, fn, quarantined, total)"))
+    return per_layer.select("layer", "tp", "fp", "tn", "fn", "quarantined", "total", *rate_columns(), r6(mcc_column()).alias("mcc"))
 
 
 KF_M = 8
@@ -232,13 +204,14 @@ def pca_95(spark, sf_dir):
 
 @query("encoded_roundtrip")
 def encoded_roundtrip(spark, sf_dir):
-    """SNK1: PCA-encoded embeddings written as PC1..PCk with a header and
+    """SNK1 (``write_encoded``): PCA-encoded embeddings written as PC1..PCk with a header and
     read back; counts and mean of PC1 per label."""
     v = _vectors(spark, sf_dir)
     model = pp.fit_pca(v, "vec", 0.95)
-    enc = model.transform(v, "vec", ["vec_id", "label"])
+    enc = VectorAssembler(inputCols=[f"PC{j + 1}" for j in range(model.k)], outputCol="pcs").transform(
+        model.transform(v, "vec", ["vec_id", "label"]))
     path = shared_path(spark, "encoded")
-    enc.write.option("header", True).csv(path)
+    sinks.write_encoded(enc, "pcs", model.k, path, keep=["vec_id", "label"], fmt="csv")
     back = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                      r6(F.avg(F.col("PC1").cast("double"))).alias("avg_pc1"))

@@ -13,9 +13,24 @@ from .sqlparts import outcome_sql, snapshot_sql, with_base
 from ..sources.thresholds import METRIC_ORDER, thresholds_values_sql
 
 
+#: The micro-batch of a row: quiet traffic (no layer raises an alarm) first, then by line number.
+STEPS = 6
+STEP_SQL = f"case when l_extendedprice < 50000 and l_quantity < 10 then 0 else least(l_linenumber, {STEPS - 1}) end"
+
+
+def _land(spark, sf_dir):
+    """The feeder: the whole table in a landing folder, one part after the other."""
+    path = shared_path(spark, "landing")
+    load_table(spark, sf_dir, "lineitem").withColumn("step", F.expr(STEP_SQL)).write.partitionBy("step").parquet(path)
+    return path
+
+
 def _run(spark, sf_dir):
-    out = shared_path(spark, "snapshots")
-    sd.run_detection(spark, sf_dir, out, shared_path(spark, "ckpt-detect"), glob="lineitem.parquet")
+    """All landed files in micro-batches of a sixth of them."""
+    out, landing = shared_path(spark, "snapshots"), _land(spark, sf_dir)
+    files = len(spark.read.parquet(landing).inputFiles())
+    # the glob keeps the folder names out: they are no columns of the records
+    sd.run_detection(spark, f"{landing}/*", out, shared_path(spark, "ckpt-detect"), files_per_trigger=-(-files // STEPS))
     return out
 
 
@@ -66,22 +81,47 @@ def stream_objectives(spark, sf_dir):
             .select("layer", F.array_join("objs", ",").alias("objs")))
 
 
-@query("stream_batches")
-def stream_batches(spark, sf_dir):
-    """STR3: one snapshot per micro-batch; rows counted per batch grow
-    monotonically (rows-only check: the batch layout depends on files)."""
-    snaps = spark.read.parquet(_run(spark, sf_dir))
-    return snaps.select("batch_id", "layer", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"))
+_STEP_COUNTS = """
+st as (select scored.*, step from scored join (select md5(concat('flow:', cast(l_orderkey as string), '-', cast(l_partkey as string),
+    '-', cast(l_suppkey as string), '-', cast(l_linenumber as string), '-',
+    cast(cast(round(l_extendedprice * 100) as bigint) as string))) as id, """ + STEP_SQL + """ as step from lineitem) i on i.id = flow_id),
+sc as (select step, """ + outcome_sql() + """ from st group by step),
+cum as (select step as batch_id, """ + ", ".join(
+    f"cast(sum(l{k}_{o}) over (order by step) as bigint) as l{k}_{o}" for k in (1, 2) for o in ("tp", "fp", "tn", "fn")) + """ from sc),
+op as (select * from cum where (l1_tp > 0 and l1_fp > 0 and l1_tn > 0 and l1_fn > 0)
+                            or (l2_tp > 0 and l2_fp > 0 and l2_tn > 0 and l2_fn > 0))"""
 
 
-@query("stream_dedup", """
-select distinct event_type, props as payload from events""")
+@query("stream_batches", with_base("""
+select batch_id, 1 as layer, l1_tp as tp, l1_fp as fp, l1_tn as tn, l1_fn as fn from op
+union all select batch_id, 2, l2_tp, l2_fp, l2_tn, l2_fn from op""", extra=_STEP_COUNTS))
+def stream_batches(spark, sf_dir):
+    """STR3 + STR4: one micro-batch per landed part; the first leaves the gate closed and sends
+    no snapshot, and every snapshot after its opening has the running counts so far.  The
+    stream stops and resumes between the parts, with its state."""
+    landing, out, ckpt = (shared_path(spark, n) for n in ("landing", "snapshots", "ckpt-batches"))
+    li = load_table(spark, sf_dir, "lineitem")
+    for step in range(STEPS):
+        li.where(F.expr(STEP_SQL) == step).write.mode("append").parquet(landing)
+        sd.run_detection(spark, landing, out, ckpt, files_per_trigger=1_000_000)  # all that has landed
+    return spark.read.parquet(out).select("batch_id", "layer", "tp", "fp", "tn", "fn")
+
+
+DEDUP_HORIZON = 24
+
+
+@query("stream_dedup", f"""
+with recursive e as (select event_type, props as payload, cast(floor(epoch(cast(ts as timestamp)) / 3600) as bigint) as hour from events),
+c as (select distinct event_type, payload, hour from e)
+select event_type, payload, count(*) as n, max(hour) as last_hour from c a
+where not exists (select 1 from c b where b.event_type = a.event_type and b.payload = a.payload
+                  and b.hour < a.hour and b.hour >= a.hour - {DEDUP_HORIZON})
+group by event_type, payload""")
 def stream_dedup(spark, sf_dir):
-    """CTL7 stream: watermark-bounded content dedup of the event messages.  The
-    watermark is the time span of the whole table, so no row of it is late and
-    no repeat outlives it, whatever the table's length."""
-    out = shared_path(spark, "dedup")
-    ts = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    span = load_table(spark, sf_dir, "events").agg((F.max(ts) - F.min(ts) + 1).alias("s")).first()["s"] or 1
-    sd.dedup_stream(spark, sf_dir, out, shared_path(spark, "ckpt-dedup"), delay=f"{span} seconds")
-    return spark.read.parquet(out).select("event_type", "payload")
+    """CTL7 stream: repeats of a content within 24 hours go, later ones pass; how often each
+    content passed and when last.  Only the store's hours within the horizon are read."""
+    out, store, ckpt = (shared_path(spark, n) for n in ("dedup", "dedup-store", "ckpt-dedup"))
+    sd.dedup_stream(spark, sf_dir, out, store, ckpt, DEDUP_HORIZON)
+    passed = spark.read.parquet(out)
+    return passed.groupBy("event_type", "payload").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.floor(F.unix_timestamp("ts") / 3600)).alias("last_hour"))
