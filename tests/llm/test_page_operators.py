@@ -1,12 +1,13 @@
 """HTML wrappers, the URL filter, and the pipeline."""
 
 import html as entities
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from twotier.llm import html_extraction, url_filter
-from twotier.llm.html_extraction import align, main_slots, page_text, parse, wrapper_of
+from twotier.llm.html_extraction import align, main_slots, parse, wrapper_of
 
 PAGE = "page_id bigint, url string, html string, host string, share int, slots string, path string, rule string"
 
@@ -33,36 +34,96 @@ def infer(pages):
     return wrapper
 
 
+def extracted(spark, pages, parts=1):
+    """The main texts of pages of one host, in their order."""
+    rows = spark.createDataFrame([(i, "http://a.org/x", p, "h", 1, "s", "p", "r") for i, p in enumerate(pages)], PAGE)
+    found = {r["page_id"]: r["text"] for r in html_extraction.main_texts(rows.repartition(parts)).collect()}
+    return [found[i] for i in range(len(pages))]
+
+
 def test_wrapper_has_slots_options_and_groups():
     pages = ["<body><h2>Same</h2><p>one<p>two<dl><dt>a<dd>b<dt>c<dd>d</dl></body>",
              "<body><h2>Same</h2><p>three<img><hr><dl><dt>e<dd>f</dl></body>"]
     body = infer(pages)[0]
     h2, p, hr, dl = body[3]
-    assert h2[3][0][3][0] == "Same" and p[1] and p[3][0][3][0] is None and hr[2]
+    assert h2[3][0][0] == "#" and p[1] and hr[2] and not h2[2]
     assert dl[3][0][0] == "()" and [i[0] for i in dl[3][0][3]] == ["dt", "dd"] and dl[3][0][1]
+    assert main_slots(infer(pages)) == ["/body/dl/dd", "/body/dl/dt", "/body/h2", "/body/p"]
 
 
-def test_boilerplate_without_an_article_element():
+def test_boilerplate_without_an_article_element(spark):
     def page(n):
         return (f"<title>x</title><body><header>Site</header><nav><a href=/>Home</a></nav><div id='cookie-notice'>We use cookies {n}</div>"
                 f"<div class=content><h1>Title {n}</h1><p>A &lt;b&gt; text&nbsp; {n}<script>var x = '<p>no';</script><br>goes on.</p>"
                 f"<form>Sign up {n}</form></div><ul><li><a href=a>Link {n}</a><li><a href=b>Other {n}</a></ul><p>All rights reserved</p>"
                 f"<section class='post-comments'><p>I disagree {n}</p></section><aside>Ad {n}</aside></body>")
-    wrapper = infer([page(i) for i in range(3)])
-    assert page_text(page(1), set(main_slots(wrapper))) == "Title 1\nA <b> text 1 goes on."
+    assert extracted(spark, [page(i) for i in range(3)])[1] == "Title 1\nA <b> text 1 goes on."
+
+
+def test_menus_and_notices_in_unlisted_classes(spark):
+    def page(n):
+        menu = "".join(f"<li>{x}" for x in ("Start", "Shop", "About"))
+        return (f"<body><div class=zone><ul>{menu}</ul></div><div class=zoneb><h1>Title {n}</h1><p>Text {n}<p>Sign up for our weekly letter"
+                f"<p>goes on {n}</div><div class=zonec><span>Made with care</span></div></body>")
+    assert extracted(spark, [page(i) for i in range(4)], 3) == [f"Title {n}\nText {n}\ngoes on {n}" for n in range(4)]
+    # one page alone tells nothing about its host
+    assert extracted(spark, [page(0)])[0].startswith("Start\nShop\nAbout\nTitle 0")
 
 
-def test_constants_options_and_groups_inside_an_article():
+def test_headings_before_varying_text_stay(spark):
     def page(n):
-        more = "<h3>Editor's choice</h3>" if n % 2 else ""
-        return (f"<body><article><div class=lead>Read by our members</div><h1>Title {n}</h1><p>Text {n}<p>goes on {n}{more}"
-                f"<ul><li><b>Print</b><i>Word {n}</i></ul><dl><dt>Source<dd>Paper {n}<dt>Source<dd>Book {n}</dl></article></body>")
-    wrapper = infer([page(i) for i in range(5)])
-    assert page_text(page(1), set(main_slots(wrapper))) == (
-        "Title 1\nText 1\ngoes on 1\nPrintWord 1\nPaper 1\nBook 1")
+        return (f"<body><article><h1>Cake {n}</h1><h2>Ingredients</h2><ul><li>Flour {n}<li>Salt</ul><h2>Method</h2><p>Stir {n}"
+                f"<p>Sign up for our weekly letter<h2>Newsletter</h2><p>Every week</article></body>")
+    pages = [page(i) for i in range(3)]
+    # "Salt" is on all pages: a constant that is no heading
+    assert extracted(spark, pages) == [f"Cake {n}\nIngredients\nFlour {n}\nMethod\nStir {n}" for n in range(3)]
+    # on two pages nothing is a constant yet
+    assert extracted(spark, pages[:2])[0].endswith("Sign up for our weekly letter\nNewsletter\nEvery week")
+
+
+def test_constants_options_and_groups_inside_an_article(spark):
+    def page(n):
+        more = "<h3>Editor's choice</h3><p>Best of the week" if n % 2 else ""
+        return (f"<body><article><div class=lead>Read by our members</div><h1>Title {n}</h1><p>Text {n}<p>goes on {n}"
+                f"<div>{more}</div><ul><li><b>Print</b><i>Word {n}</i></ul><dl><dt>Source<dd>Paper {n}<dt>Source<dd>Book {n}</dl></article></body>")
+    # the option is judged by the pages that show it
+    assert extracted(spark, [page(i) for i in range(7)])[1] == (
+        "Title 1\nText 1\ngoes on 1\nPrintWord 1\nSource\nPaper 1\nSource\nBook 1")
     # copies of one page tell nothing, whatever stands around the article
     copies = [f"<body><div>Visit {n}</div>{page(1)}</body>" for n in range(3)] + ["<body><p>other</body>"]
-    assert page_text(copies[0], set(main_slots(infer(copies)))).startswith("Read by our members\nTitle 1")
+    assert extracted(spark, copies)[0].startswith("Read by our members\nTitle 1")
+
+
+def test_any_order_of_the_pages_gives_the_same_texts(spark):
+    draw = random.Random(6)
+    rows = []
+    for host in range(80):
+        for n in range(5):
+            parts = [draw.choice([f"<p>text {draw.randint(0, 3)}", "<h2>Head</h2>", f"<ul><li>a<li>b{n}</ul>", "<div class=x><p>note</div>",
+                                  f"<dl><dt>k<dd>v{draw.randint(0, 2)}</dl>", "<hr>"]) for _ in range(draw.randint(1, 7))]
+            rows.append((5 * host + n, f"http://h{host}.org/{n}", f"<body>{''.join(parts)}</body>"))
+    seen = None
+    for turn in range(5):
+        random.Random(turn).shuffle(rows)
+        pages = spark.createDataFrame([(*r, "h", 1, "s", "p", "r") for r in rows], PAGE).repartition(turn + 1)
+        found = {r["page_id"]: r["text"] for r in html_extraction.main_texts(pages).collect()}
+        assert seen in (None, found) and len(found) == 400
+        seen = found
+
+
+def test_slots_joined_by_shares_give_the_same(spark, monkeypatch):
+    def page(n):
+        return f"<body><div><p>Menu</div><p>Text {n}</body>"
+    pages = [page(i) for i in range(9)]
+    want = extracted(spark, pages)
+    monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(html_extraction, "SHARE_PAGES", 2)
+    assert extracted(spark, pages, 3) == want == [f"Text {n}" for n in range(9)]
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 5000 + "core <b>text</b>" + "<aside>ad</aside>" + "</div>" * 5000 + "<p>after"
+    assert extracted(spark, [deep, "<p>other"])[0] == "core text\nafter"
 
 
 def test_a_host_with_two_templates(spark):

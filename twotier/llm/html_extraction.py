@@ -2,12 +2,18 @@
 
 A page is a stream of tags and texts; the stream of a page, as a tree of block elements
 with their texts, is aligned step by step with those of the other pages of its host.
-Mismatching texts become text slots, elements that one side lacks become optional, and
-runs of alike elements or element groups become repeated groups: the result is the host's
-wrapper, a regular expression without unions.  Its slots are the main text; menus, notices
-and the like are told by their element, class or role, by constant text (also in optional
-items and repeated groups) and, outside an article element, by links.  A page with slots
-inside an article has these as its text, another page of the host the ones it has elsewhere.
+Texts become text slots, elements that one side lacks become optional, and runs of alike
+elements or element groups become repeated groups: the result is the host's wrapper, a
+regular expression without unions.  Its slots are where main text may stand; menus, notices
+and the like are told by their element, class or role, by links outside an article element,
+and by constant text.
+
+A text is constant if it stands at one slot on more than half of the host's pages that have
+that slot, so optional and repeated parts are judged by the pages that show them.  Pages of the
+same main text count once and ``LEAST_PAGES`` of them are needed.  Inside an article a constant heading
+stays if the text that it introduces varies.  Counts and slots are the same for any order of
+the pages.  A page with slots inside an article has these as its text, another page of the
+host the ones it has elsewhere.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, read, shuffle_partitions
+from .common import kept, map_rows, read, shuffle_partitions
 
 QUERY = "op2_html_extraction"
-#: Shares in which the wrappers of one host are merged before they are merged into one.
-MERGE_SHARES = 16
-#: Shares of a host's pages that get their slots in different tasks.
-JOIN_SHARES = 32
+#: Pages of different text that a constant stands on at least.
+LEAST_PAGES = 3
+#: Slots of all hosts go to the tasks by a broadcast up to so many bytes, else by a join in
+#: which a host's pages are dealt out over one share for each so many of them.
+BROADCAST_BYTES = 32 << 20
+SHARE_PAGES = 2000
+#: Elements nested deeper than this count as part of the one at this depth.
+DEEPEST = 120
 #: A task hands on its wrappers when it holds those of so many hosts.
 HOSTS_HELD = 2000
 LONGEST_GROUP = 4
@@ -53,6 +64,7 @@ BANNED_WORDS = set("ad ads advert advertisement adverts alert banner breadcrumb
                    "popup promo promotion related respond search share sharing sidebar signup social sponsor sponsored "
                    "subscribe toolbar widget".split())
 COMMENT_WORDS = set("comment comments commentlist disqus replies reply".split())
+HEADINGS = set("caption dt h1 h2 h3 h4 h5 h6 legend summary th".split())
 CONTENT_WORDS = set("article body content entry main post story text".split())
 BANNED_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
@@ -86,9 +98,11 @@ def element_key(tag: str, attributes: str) -> str:
 def parse(page: str | None) -> Element:
     """The page as a tree of block elements.  Inline elements are part of the text
     around them; comments, declarations and the insides of scripts, styles and the like
-    are left out.  Unclosed and stray tags are forgiven."""
+    are left out.  Unclosed and stray tags are forgiven.  What is nested deeper than
+    ``DEEPEST`` becomes part of the element there, without the banned elements."""
     root = Element("", "")
     stack, text, links, in_link = [root], [], 0, 0
+    open_tags: Counter = Counter()
     page = page or ""
 
     def flush() -> None:
@@ -122,11 +136,14 @@ def parse(page: str | None) -> Element:
                 in_link = max(0, in_link - 1)
             elif tag == "br":
                 text.append(" ")
-            elif tag not in INLINE and any(e.tag == tag for e in stack):
+            elif tag not in INLINE and open_tags[tag]:
                 flush()
                 in_link = 0
-                while stack.pop().tag != tag:
-                    pass
+                while True:
+                    closed = stack.pop().tag
+                    open_tags[closed] -= 1
+                    if closed == tag:
+                        break
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
@@ -143,19 +160,25 @@ def parse(page: str | None) -> Element:
             flush()
             in_link = 0
             if tag in CLOSES_P:
-                _close(stack, {"p"}, {"td", "th", "li", "table", "button", "object"})
+                _close(stack, open_tags, {"p"}, {"td", "th", "li", "table", "button", "object"})
             if tag in CLOSES:
-                _close(stack, CLOSES[tag], SCOPE[tag])
+                _close(stack, open_tags, CLOSES[tag], SCOPE[tag])
             element = Element(tag, element_key(tag, token[3]))
-            stack[-1].parts.append(element)
+            if len(stack) <= DEEPEST:
+                stack[-1].parts.append(element)
+            elif not _banned(element.key):
+                element.parts = stack[-1].parts
             if tag not in VOID:
                 stack.append(element)
+                open_tags[tag] += 1
     flush()
     return root
 
 
-def _close(stack: list[Element], tags: set[str], scope: set[str]) -> None:
+def _close(stack: list[Element], open_tags: Counter, tags: set[str], scope: set[str]) -> None:
     """Closes the outermost open element of ``tags`` that no element of ``scope`` holds."""
+    if not any(open_tags[t] for t in tags):
+        return
     cut = None
     for n in range(len(stack) - 1, 0, -1):
         if stack[n].tag in scope:
@@ -163,28 +186,28 @@ def _close(stack: list[Element], tags: set[str], scope: set[str]) -> None:
         if stack[n].tag in tags:
             cut = n
     if cut is not None:
+        open_tags.subtract(e.tag for e in stack[cut:])
         del stack[cut:]
 
 
-# A wrapper is a list of items [key, repeated, optional, content]: for the key "#" the content
-# is [constant text or null for a slot, link share, the smallest two marks of pages that have the constant]; for another
-# key it is a wrapper; a group of items that repeat together has the key "()".
+# A wrapper is a list of items [key, repeated, optional, content]: for the key "#", a text slot, the content is
+# the smallest link share of its texts; for another key it is a wrapper; a group of items that repeat
+# together has the key "()".
+
+def wrapper_of(element: Element) -> list:
+    """The wrapper of one page: its tree with runs of alike siblings folded."""
+    return fold([["#", False, False, part[1]] if isinstance(part, tuple) else [part.key, False, False, wrapper_of(part)]
+                 for part in element.parts], set())
+
+
+def page_mark(texts: list[tuple[str, bool, str]]) -> int:
+    """A hash of a page's main text by its own tree: pages of one mark count as one."""
+    words = [t for _, inside, t in texts if inside] or [t for _, _, t in texts]
+    return _digest("\n".join(words))
 
-def wrapper_of(element: Element, mark: int | None = None) -> list:
-    """The wrapper of one page: its tree with runs of alike siblings folded.  Pages of
-    the same main text, by their own tree, have the same ``mark`` and count as one."""
-    if mark is None:
-        own = list(texts_of(element))
-        words = [t for _, inside, t in own if inside] or [t for _, _, t in own]
-        digest = hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=6)
-        mark = int.from_bytes(digest.digest(), "little")
-    items = []
-    for part in element.parts:
-        if isinstance(part, tuple):
-            items.append(["#", False, False, [*part, [mark]]])
-        else:
-            items.append([part.key, False, False, wrapper_of(part, mark)])
-    return fold(items, set())
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _shape(item: list) -> str:
@@ -222,11 +245,7 @@ def fold(items: list, known: set[tuple]) -> list:
 
 def _join(a: list, b: list) -> list:
     """Two items of one shape as one."""
-    if a[0] == "#":
-        same = a[3][0] is not None and a[3][0] == b[3][0]
-        content = [a[3][0] if same else None, min(a[3][1], b[3][1]), sorted({*a[3][2], *b[3][2]})[:2] if same else []]
-    else:
-        content = align(a[3], b[3])
+    content = min(a[3], b[3]) if a[0] == "#" else align(a[3], b[3])
     return [a[0], a[1] or b[1], a[2] or b[2], content]
 
 
@@ -296,34 +315,38 @@ def texts_of(element: Element, path: str = "", inside: bool = False) -> Iterator
 
 
 def main_slots(wrapper: list) -> list[str]:
-    """The paths of the wrapper's texts that are main text: all texts outside banned
-    elements that are no constants of several pages and, outside an article (or main)
-    element, no lists of links.  A path is the keys from the root; a constant text that
-    is no main text is the path with the text appended."""
-    texts: list[tuple[str, bool, list]] = []
+    """The paths (keys from the root) of the wrapper's text slots that may hold main text: all
+    outside banned elements and, outside an article (or main) element, none of links only."""
+    least: dict[tuple[str, bool], float] = {}
 
     def walk(items: list, path: str, inside: bool) -> None:
         for key, _, _, content in items:
             if key == "#":
-                texts.append((path, inside, content))
+                least[path, inside] = min(content, least.get((path, inside), 1.0))
             elif key == "()":
                 walk(content, path, inside)
             elif not _banned(key):
                 walk(content, f"{path}/{key}", inside or _article(key))
 
     walk(wrapper, "", False)
-    fixed = {(path, constant) for path, _, (constant, _, marks) in texts if constant is not None and len(marks) > 1}
-    keep = {path for path, inside, (constant, links, _) in texts
-            if (inside or links < 0.6) and (path, constant) not in fixed}
-    return sorted(keep | {f"{path}\n{constant}" for path, constant in fixed if path in keep})
+    return sorted({path for (path, inside), links in least.items() if inside or links < 0.6})
 
 
-def page_text(page: str | None, slots: set[str]) -> str:
+def page_text(page: str | None, slots: set[str], constants: set[int]) -> str:
     """The texts of a page that its host's slots hold, one block a line: those inside an
-    article (or main) element, or all of them on a page without any there."""
-    found = [(inside, text) for path, inside, text in texts_of(parse(page))
-             if path in slots and f"{path}\n{text}" not in slots]
-    return "\n".join([text for inside, text in found if inside] or [text for _, text in found])
+    article (or main) element, or all of them on a page without any there.  Constants go, but
+    for headings in an article whose next text that is no heading varies."""
+    found = [(path, inside, text, _digest(f"{path}\n{text}") in constants)
+             for path, inside, text in texts_of(parse(page)) if path in slots]
+    out, varies = [], False
+    for path, inside, text, constant in reversed(found):
+        heading = re.split(r"[.#@]", path.rpartition("/")[2], maxsplit=1)[0] in HEADINGS
+        if not heading:
+            varies = not constant
+        if not constant or (heading and inside and varies):
+            out.append((inside, text))
+    out.reverse()
+    return "\n".join([text for inside, text in out if inside] or [text for _, text in out])
 
 
 WRAPPERS = "host string, wrapper string, pages bigint"
@@ -390,9 +413,30 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
-    partial = pages.select("host", "html").mapInArrow(run, schema).withColumn(
-        "share", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_SHARES)))
-    return _merged(_merged(partial, "host", "share"), "host")
+    partial = kept(pages.select("host", "html").mapInArrow(run, schema), "wrappers")
+    parts = partial.groupBy("host").agg(F.ceil(F.sqrt(F.count("*"))).alias("shares"))
+    shared = partial.join(parts, "host").withColumn("share", F.pmod(F.xxhash64("wrapper"), "shares"))
+    return _merged(_merged(shared.select(*partial.columns, "share"), "host", "share"), "host")
+
+
+def constants(pages: DataFrame) -> DataFrame:
+    """(host, constants): the hashes of (path, text) that are constant on each host."""
+    def make():
+        def work(hosts, html):
+            out = set()
+            for host, page in zip(hosts, html):
+                texts = list(texts_of(parse(page)))
+                mark = page_mark(texts)
+                out.update((host, _digest(path), _digest(f"{path}\n{text}"), mark) for path, _, text in texts)
+            return list(zip(*out)) if out else [[]]
+        return work
+
+    seen = map_rows(pages, ["host", "html"], make, "host string, path bigint, text bigint, mark bigint").distinct()
+    seen = kept(seen, "texts")
+    paths = seen.select("host", "path", "mark").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
+    texts = seen.groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    return (texts.join(paths, ["host", "path"]).where("2 * n > pages")
+            .groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("constants")))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -407,29 +451,38 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def make():
         return lambda hosts, found: [hosts, [main_slots(json.loads(w)) for w in found]]
 
-    slots = map_rows(wrappers(pages), ["host", "wrapper"], make, "slot_host string, slots array<string>")
+    slots = map_rows(wrappers(pages), ["host", "wrapper"], make, "host string, slots array<string>")
+    slots = kept(slots.join(constants(pages), "host", "left").withColumnRenamed("host", "slot_host"), "slots")
 
     def extract():
-        made: dict[tuple, set] = {}
+        made: dict[tuple, tuple[set, set]] = {}
 
-        def work(ids, urls, page, own):
+        def work(ids, urls, page, own, fixed):
             out = []
-            for p, s in zip(page, own):
-                key = tuple(s or ())
+            for p, s, c in zip(page, own, fixed):
+                key = tuple(s or ()), tuple(c or ())
                 if key not in made:
                     if len(made) > 1000:
                         made.clear()
-                    made[key] = set(key)
-                out.append(page_text(p, made[key]))
+                    made[key] = set(key[0]), set(key[1])
+                out.append(page_text(p, *made[key]))
             return [ids, urls, out, [len(t) for t in out]]
         return work
 
-    # a host's slots are a few paths: a copy for each share of its pages deals a frequent host out
-    slots = slots.withColumn("slot_share", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SHARES - 1))))
-    shared = pages.withColumn("share", F.pmod(F.xxhash64("page_id", "url"), F.lit(JOIN_SHARES)))
-    joined = shared.join(slots, (F.col("host") == F.col("slot_host")) & (F.col("share") == F.col("slot_share")), "left")
+    same = F.col("host") == F.col("slot_host")
+    size = slots.agg(F.sum(F.length(F.array_join("slots", " ")) + 8 * F.coalesce(F.size("constants"), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = pages.join(F.broadcast(slots), same, "left")
+    else:  # a copy of a host's slots for each share of its pages
+        shares = pages.groupBy(F.col("host").alias("slot_host")).agg(F.ceil(F.count("*") / SHARE_PAGES).cast("int").alias("shares"))
+        slots = slots.join(shares, "slot_host").withColumn("slot_share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        most = shares.agg(F.max("shares")).first()[0]
+        # the draw is the same for all hosts; a host folds it into its own number of shares
+        dealt = pages.withColumn("draw", F.pmod(F.xxhash64("page_id", "url"), F.lit(most)).cast("int"))
+        slots = slots.withColumn("draw_of", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).where("draw_of % shares = slot_share")
+        joined = dealt.join(slots, same & (F.col("draw") == F.col("draw_of")), "left")
     kind = dict(pages.dtypes)["page_id"]
-    return map_rows(joined, ["page_id", "url", "html", "slots"], extract,
+    return map_rows(joined, ["page_id", "url", "html", "slots", "constants"], extract,
                     f"page_id {kind}, url string, text string, n_chars bigint")
 
 
