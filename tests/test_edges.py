@@ -253,3 +253,31 @@ def test_select_items():
     from twotier.operators import relational as rel
     assert rel._select_items("round(a, 2) as r, b, concat(c, ', ') x, d[0]") == [
         "round(a, 2) as r", "b", "concat(c, ', ') x", "d[0]"]
+
+
+def test_rows_append_in_file_order(spark):
+    from twotier.operators import relational as rel
+    from twotier.session import shared_path
+    a, b = shared_path(spark, "order-a"), shared_path(spark, "order-b")
+    spark.range(5000).selectExpr("id as x").repartitionByRange(4, "x").sortWithinPartitions("x").write.parquet(a)
+    spark.range(5000).selectExpr("cast(id * 2 as string) as y").repartitionByRange(7, F.expr("cast(y as int)")).sortWithinPartitions(
+        F.expr("cast(y as int)")).write.csv(b)
+    left, right = spark.read.parquet(a), spark.read.schema("y string").csv(b)
+    got = rel.append_by_file_order(left, right)
+    assert got.count() == 5000 and got.where("cast(y as int) <> 2 * x").isEmpty()
+    assert [r["row_id"] for r in rel.with_file_order(left).orderBy("x").collect()] == list(range(5000))
+    short = shared_path(spark, "order-c")
+    spark.range(4999).write.parquet(short)
+    with pytest.raises(ValueError):
+        rel.append_by_file_order(left, spark.read.parquet(short))
+
+
+def test_profiles_of_earlier_runs(spark):
+    from twotier.operators import metrics as mt
+    store = mt.ProfileStore(spark)
+    a, b = spark.range(3), spark.range(4)
+    first = {r["dataset"]: r["changed"] for r in store.changes({"a": a, "b": b}, 0).collect()}
+    assert first == {"a": 1, "b": 1}  # all new
+    assert {r["dataset"]: r["changed"] for r in store.changes({"a": a, "b": a}, 1).collect()} == {"a": 0, "b": 1}
+    assert {r["dataset"]: r["changed"] for r in store.changes({"a": a.withColumn("x", F.lit(1))}, 2).collect()} == {"a": 1, "b": 1}
+    assert {r["dataset"]: r["changed"] for r in store.changes({"a": a}, 1).collect()}["a"] == 0  # a replay of run 1

@@ -55,7 +55,7 @@ def test_kth_smallest_value_refines(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     s = sorted(vals)
     for k in (1, 777, 2520, len(vals)):
-        assert kth_smallest_value(df, "x", k, n_buckets=16, max_rank_rows=300) == s[k - 1]
+        assert kth_smallest_value(df, "x", k, max_values=300) == s[k - 1]
     assert kth_smallest_value(df, "x", len(vals) + 1) is None
     assert math.isfinite(s[0]) and F is not None
 
@@ -70,3 +70,29 @@ def test_kth_hash_by_group_with_refinement(spark):
         keys = sorted((hashlib.md5(f"7:k{i}".encode()).hexdigest(), f"k{i}") for i in range(3000) if i % 3 == gi)
         want |= {r for _, r in keys[:len(keys) // 3]}
     assert got == want
+
+
+def _largest(df, n):
+    from twotier.functions.scan import quantile_buckets
+    sizes = quantile_buckets(df, "v", n, "b").groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    order = sorted(sizes, key=lambda r: r["b"])
+    assert all(a["hi"] <= b["lo"] for a, b in zip(order, order[1:]))  # monotone
+    return max(r["n"] for r in sizes), len(sizes)
+
+
+def test_sketch_buckets_keep_their_target(spark):
+    million = spark.range(1_000_000).select(F.pow(F.rand(3), 4).alias("v"))
+    assert _largest(million, 50)[0] <= 1.2 * 1_000_000 / 50
+    most, buckets = _largest(million, 1000)
+    assert most <= 1.5 * 1_000_000 / 1000 and buckets >= 900
+    assert _largest(million, 1) == (1_000_000, 1)
+
+
+def test_kth_value_of_many_and_of_tied_values(spark):
+    from twotier.functions.scan import kth_smallest_value
+    many = spark.range(10_000_000, numPartitions=8).select(((F.col("id") * 7919) % 10_000_000).cast("double").alias("v"))
+    assert kth_smallest_value(many, "v", 9_500_000) == 9_499_999.0
+    tied = spark.range(100_000).select(F.when(F.col("id") < 90_000, 1.0).otherwise(F.col("id").cast("double")).alias("v"))
+    assert kth_smallest_value(tied, "v", 90_000, max_values=100) == 1.0
+    assert kth_smallest_value(tied, "v", 90_001, max_values=100) == 90_000.0
+    assert kth_smallest_value(tied, "v", 100_001) is None and kth_smallest_value(tied, "v", 0) is None

@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 MAX_BROADCAST_GROUPS = 100_000
 
@@ -33,22 +35,45 @@ def hash_prefix_bucket(col: str | Column, digits: int = 2) -> Column:
     return F.substring(c, 1, digits)
 
 
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 64, out: str = "_bucket",
-                     rel_err: float = 1e-3) -> DataFrame:
-    """Bucket index monotone in ``col`` from approximate quantiles.
+#: Buckets that one level of sketches cuts; the sketch's rank error (about 0.1 %) is far below their share.
+LEVEL_BUCKETS = 64
+SKETCH_K = 4096
+
+
+def _bounds(col: str, parts: int) -> Column:
+    """The inner bounds of ``parts`` parts of equal weight, from a mergeable KLL sketch."""
+    ranks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col(col), SKETCH_K), ranks)
 
-    Only ``n_buckets`` boundary values reach the driver (bounded), never rows.
-    """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.approxQuantile(col, probs, rel_err) if probs else []
-    splits = sorted({float(b) for b in bounds if b is not None and not math.isnan(b)})
-    splits = [-math.inf, *splits, math.inf]
-    tmp = f"{out}_d"
-    b = Bucketizer(splits=splits, inputCol=col, outputCol=tmp, handleInvalid="keep")
-    return b.transform(df).withColumn(out, F.col(tmp).cast("int")).drop(tmp)
 
+def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 64, out: str = "_bucket") -> DataFrame:
+    """Bucket index monotone in ``col``, of about equal numbers of rows.  For distinct values
+    none is above twice its share; callers count ties as weights of one row.
 
-ROWS_PER_BUCKET = 1_000_000
+    Bounds come from KLL sketches.  Up to ``LEVEL_BUCKETS`` they are one sketch and literals;
+    more buckets are cut level by level, with a sketch per bucket of the level before (a
+    table of ``n_buckets`` rows at most, broadcast only if small).
+    """
+    if n_buckets <= 1:
+        return df.withColumn(out, F.lit(0))
+    if n_buckets <= LEVEL_BUCKETS:
+        found = df.where(F.col(col).isNotNull() & ~F.isnan(col)).agg(_bounds(col, n_buckets).alias("b")).first()["b"]
+        splits = [-math.inf, *sorted({float(b) for b in found or []}), math.inf]
+        tmp = f"{out}_d"
+        b = Bucketizer(splits=splits, inputCol=col, outputCol=tmp, handleInvalid="keep")
+        return b.transform(df).withColumn(out, F.col(tmp).cast("int")).drop(tmp)
+    parts, have = math.ceil(n_buckets / LEVEL_BUCKETS), LEVEL_BUCKETS
+    df = quantile_buckets(df, col, LEVEL_BUCKETS, out)
+    while parts > 1:
+        now = min(LEVEL_BUCKETS, parts)
+        cuts = df.where(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(out).agg(_bounds(col, now).alias("_cuts"))
+        df = df.join(F.broadcast(cuts) if have * now <= MAX_BROADCAST_OFFSETS else cuts, out, "left").withColumn(
+            out, (F.col(out) * now + F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(col))), F.lit(0))).cast("int")).drop("_cuts")
+        parts, have = math.ceil(parts / now), have * now
+    return df
+
+
+ROWS_PER_BUCKET = 250_000
 MAX_BROADCAST_OFFSETS = 200_000
 
 
@@ -58,9 +83,8 @@ def digits_for_rows(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, min_dig
     return max(min_digits, min(7, math.ceil(math.log(need, 16)) if need > 1 else min_digits))
 
 
-def buckets_for_rows(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 64,
-                     hi: int = 100_000) -> int:
-    return int(max(lo, min(hi, math.ceil(n_rows / rows_per_bucket))))
+def buckets_for_rows(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    return max(1, math.ceil(n_rows / rows_per_bucket))
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
@@ -156,54 +180,49 @@ def rank_flag(df: DataFrame, group_cols: list[str], hash_col: str, k: DataFrame,
         .drop("_kth")
 
 
-def kth_smallest_value(df: DataFrame, col: str, k: int, n_buckets: int = 64,
-                       max_rank_rows: int = 1_000_000) -> float | None:
+def kth_smallest_value(df: DataFrame, col: str, k: int, max_values: int = 20_000) -> float | None:
     """Exact k-th smallest value (1-based) of a double column.
 
-    Approximate-quantile buckets narrow the search to one bucket (bucket
-    counts are a tiny aggregate); the loop refines until the candidate set is
-    small enough to rank in one task.  Only bucket counts and the final
-    value reach the driver, never rows.
+    Ties count as weights of one value, written once.  While more distinct values than
+    ``max_values`` are in question, KLL bounds cut them into buckets and the weights of those say
+    which one holds the k-th row: it is at most a small share of the values, so the search ends
+    for any input.  Only bucket weights and the last few values reach the driver.
     """
     if k <= 0:
         return None
-    cur = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    rest = k
-    for _ in range(8):
-        n = cur.count()
-        if n == 0 or rest > n:
-            return None
-        if n <= max_rank_rows:
-            break
-        b = quantile_buckets(cur, "_v", n_buckets, out="_b")
-        hist = sorted((r["_b"], r["_n"]) for r in
-                      b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect())
-        before = 0
-        target = None
-        for bucket, cnt in hist:
-            if before + cnt >= rest:
-                target = bucket
+    values = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_w"))
+    values = written(values, "values")
+    sizes = values.agg(F.sum("_w").alias("rows"), F.count(F.lit(1)).alias("values")).first()
+    if k > (sizes["rows"] or 0):
+        return None
+    rest, n = k, sizes["values"]
+    while n > max_values:
+        b = quantile_buckets(values, "_v", LEVEL_BUCKETS, out="_b")
+        hist = sorted(tuple(r) for r in b.groupBy("_b").agg(F.sum("_w"), F.count(F.lit(1))).collect())  # one row a bucket
+        for bucket, weight, count in hist:
+            if weight >= rest:
                 break
-            before += cnt
-        rest -= before
-        cur = b.where(F.col("_b") == target).select("_v")
-    w = Window.orderBy("_v")
-    row = cur.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == rest).first()
-    return None if row is None else float(row["_v"])
+            rest -= weight
+        values, n = b.where(F.col("_b") == bucket).select("_v", "_w"), count
+    for value, weight in sorted(tuple(r) for r in values.collect()):  # max_values rows at most
+        if weight >= rest:
+            return float(value)
+        rest -= weight
+    return None
 
 
 MAX_LOCAL_GROUPS = 1_000
 
 
 def hash_histogram(df: DataFrame, group_col: str, hash_col: str, digits: int = 3) -> dict:
-    """{group: [(prefix, count), ...]} collected from one aggregate; bounded
-    by groups x 16^digits rows."""
+    """{group: [(prefix, count), ...]} collected from one aggregate; no more than
+    MAX_LOCAL_GROUPS x 16^digits rows are fetched."""
     hist = df.groupBy(F.col(group_col).alias("_g"), hash_prefix_bucket(hash_col, digits).alias("_b")) \
-        .agg(F.count(F.lit(1)).alias("_n")).collect()
+        .agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LOCAL_GROUPS * 16 ** digits + 1).collect()
     groups: dict = {}
     for r in hist:
         groups.setdefault(r["_g"], []).append((r["_b"], r["_n"]))
-    if len(groups) > MAX_LOCAL_GROUPS:
+    if len(groups) > MAX_LOCAL_GROUPS or len(hist) > MAX_LOCAL_GROUPS * 16 ** digits:
         raise ValueError("too many groups for a driver-side histogram; use kth_hash")
     return groups
 
@@ -236,9 +255,9 @@ def kth_hash_by_group(df: DataFrame, group_col: str, hash_col: str, k_of_n, digi
                 targets[g] = (b, k - before, c)
                 break
             before += c
-    # refine any edge bucket that is still too large for one ranking task
-    for _ in range(4):
-        big = {g: t for g, t in targets.items() if t[2] > max_rank_rows}
+    # refine any edge bucket that is still too large for one ranking task, down to whole hashes
+    while True:
+        big = {g: t for g, t in targets.items() if t[2] > max_rank_rows and len(t[0]) < 32}
         if not big:
             break
         for g, (prefix, rest, _) in big.items():

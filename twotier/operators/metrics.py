@@ -6,6 +6,7 @@ global window is used: ordered scans go through ``functions.scan``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..functions.rates import (confusion_aggs, count_if, mcc_column, r6, rate_co
                                ratio_or_null, snapshot_metric_columns)
 from ..functions.scan import (buckets_for_rows, digits_for_rows, hash_prefix_bucket, prefix_sums,
                               quantile_buckets)
+from ..session import shared_path, written
 from ..sources import taxonomy as tx
 
 
@@ -120,18 +122,46 @@ def profile_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     o = old.select(*[F.col(c).alias(f"old_{c}") for c in old.columns])
     j = o.join(new, o.old_dataset == new.dataset, "full_outer")
     return j.select(
-        F.coalesce("dataset", "old_dataset").alias("dataset"),
+        F.coalesce("dataset", "old_dataset").alias("dataset"), "old_n_rows", "n_rows",
         (~(F.col("old_n_columns").eqNullSafe(F.col("n_columns"))
            & F.col("old_column_names").eqNullSafe(F.col("column_names"))
            & F.col("old_n_rows").eqNullSafe(F.col("n_rows")))).cast("int").alias("changed"))
 
 
+class ProfileStore:
+    """AGG15: the profiles of earlier runs, a partition per run that is never changed."""
+
+    def __init__(self, spark, path: str | None = None):
+        self.spark, self.path = spark, path or shared_path(spark, "profiles")
+
+    def last(self, before: int) -> DataFrame:
+        """The latest stored profile of each dataset from runs before ``before``."""
+        schema = "dataset string, n_columns int, column_names string, n_rows bigint, run int"
+        try:
+            stored = self.spark.read.schema(schema).parquet(self.path).where(F.col("run") < before)
+        except AnalysisException:  # the first run
+            stored = self.spark.createDataFrame([], schema)
+        fields = F.struct("n_columns", "column_names", "n_rows")
+        return stored.groupBy("dataset").agg(F.max_by(fields, "run").alias("p")).select("dataset", "p.*")
+
+    def changes(self, frames: dict[str, DataFrame], run: int) -> DataFrame:
+        """Profiles the datasets, stores them as ``run`` and compares them with the last run's;
+        a dataset that is new or gone has changed."""
+        new = None
+        for name, df in frames.items():
+            row = dataset_profile(df, name)
+            new = row if new is None else new.union(row)
+        new.write.mode("overwrite").parquet(f"{self.path}/run={run}")
+        stored = self.spark.read.parquet(f"{self.path}/run={run}")
+        return profile_changed(self.last(run), stored)
+
+
 def _score_table(df: DataFrame, score: str, y: str, bin_digits: int | None):
     """Counts per distinct (optionally binned) score, sized for the scan."""
     s = F.col(score) if bin_digits is None else F.round(F.col(score), bin_digits)
     per = df.groupBy(s.alias("threshold")).agg(
         count_if(F.col(y) == 1).alias("pos"), count_if(F.col(y) == 0).alias("neg"))
-    per = per.withColumn("_neg_t", -F.col("threshold"))
+    per = written(per.withColumn("_neg_t", -F.col("threshold")), "scores")
     n_buckets = buckets_for_rows(per.count())
     return quantile_buckets(per, "_neg_t", n_buckets, out="_bucket"), n_buckets
 
@@ -148,7 +178,7 @@ def roc_points(df: DataFrame, score: str, y: str, bin_digits: int | None = None)
     """
     per, nb = _score_table(df, score, y, bin_digits)
     cum = prefix_sums(per, ["_neg_t"], ["pos", "neg"], "_bucket", n_offsets=nb)
-    totals = df.agg(count_if(F.col(y) == 1).alias("P"), count_if(F.col(y) == 0).alias("N")) \
+    totals = per.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N")) \
         .withColumn("_k", F.lit(1))
     pts = cum.withColumn("_k", F.lit(1)).join(F.broadcast(totals), "_k").select(
         "threshold",

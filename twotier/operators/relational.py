@@ -97,6 +97,39 @@ def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.sparkSession.createDataFrame(rdd, schema)
 
 
+MAX_SPLITS = 1_000_000
+
+
+def with_file_order(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """The position of each row in file order (files by path, rows as they stand), for a frame
+    read from files and not changed since.
+
+    The rows of each file split are counted in one aggregate; a row's position is its split's
+    offset plus its place in the split.  Splits (not rows) reach the driver and go back."""
+    marked = df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
+                             "_at": F.monotonically_increasing_id()})
+    splits = marked.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).limit(MAX_SPLITS + 1).collect()
+    if len(splits) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} file splits")
+    offsets, total = [], 0
+    for s in sorted(splits, key=lambda s: (s["_file"], s["_start"])):
+        offsets.append((s["_file"], s["_start"], total - s["_first"]))
+        total += s["_n"]
+    table = df.sparkSession.createDataFrame(offsets, "_file string, _start long, _offset long")
+    return marked.join(F.broadcast(table), ["_file", "_start"]).withColumn(name, F.col("_at") + F.col("_offset")).drop(
+        "_file", "_start", "_at", "_offset")
+
+
+def append_by_file_order(df: DataFrame, values: DataFrame) -> DataFrame:
+    """JON2 for files without keys: the columns of ``values`` beside those of ``df``, row by row in
+    file order.  Raises if the files differ in length."""
+    a, b = with_file_order(df, "_row"), with_file_order(values, "_row")
+    n, m = df.count(), values.count()
+    if n != m:
+        raise ValueError(f"{n} rows beside {m} values")
+    return a.join(b, "_row").drop("_row")
+
+
 def append_column_by_key(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """JON2: attach a target column kept beside the table.  Inner equi-join
     on the shared row key; raises if the sides do not align one to one."""

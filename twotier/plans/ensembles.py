@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import confusion_aggs, mcc_column, r6, rate_columns
 from ..models import extra_trees as et
+from ..models import knn
 from ..models import trees as tr
 from ..models.kernel import landmarks
 from ..models.svm_trials import KernelTrials, Trial
@@ -18,7 +19,7 @@ from ..operators import votes as vt
 from .common import query
 from .learning import L1_FEATURES, L2_CLASSES, L2_FEATURES, NB_EXTRA, fit_layer_models, nb_scored, split_frames
 from .models import _evaluate, _prepared_l1
-from .nbsql import TEST, TRAIN
+from .nbsql import TEST, TRAIN, minmax_cte, scaled_cols
 from .sqlparts import with_base
 
 # --------------------------------------------------------------------------- extra trees
@@ -179,3 +180,29 @@ def svm_trial_draws(spark, sf_dir):
         (F.col("tp") + F.col("fn")).alias("pos"))
 
 
+
+
+# --------------------------------------------------------------------------- nearest neighbours
+KNN_SAMPLE = 200
+
+
+def _knn_sql() -> str:
+    distance = " + ".join(["0e0", *[f"(t.{c} - s.{c}) * (t.{c} - s.{c})" for c in L1_FEATURES]])
+    return with_base("""
+select flow_id, round(sum(y) / 5e0, 6) as share, cast(sum(y) / 5e0 > 5e-1 as integer) as vote
+from near where r <= 5 group by flow_id""", extra=minmax_cte("mm", f"(select * from lf where {TRAIN}) t", L1_FEATURES) + f""",
+s as (select row_number() over (order by md5('42:' || flow_id)) as i, y_l1 as y, {scaled_cols('mm', L1_FEATURES)} from lf, mm where {TRAIN}
+      order by md5('42:' || flow_id) limit {KNN_SAMPLE}),
+t as (select flow_id, {scaled_cols('mm', L1_FEATURES)} from lf, mm where {TEST}),
+near as (select t.flow_id, s.y, row_number() over (partition by t.flow_id order by {distance}, s.i) as r from t, s)""")
+
+
+@query("knn_vote", _knn_sql())
+def knn_vote(spark, sf_dir):
+    """CLF11: the five nearest of a sample of 200 labelled rows vote on every test row."""
+    train, test = split_frames(spark, sf_dir)
+    mm = fe.fit_minmax(train, L1_FEATURES)
+    points = knn.sample(train, {c: mm.expr(c) for c in L1_FEATURES}, "y_l1", KNN_SAMPLE)
+    scaled = test.select("flow_id", *[mm.expr(c).alias(c) for c in L1_FEATURES])
+    share = knn.vote_share([F.col(c) for c in L1_FEATURES], points)
+    return scaled.select("flow_id", share.alias("s")).select("flow_id", r6("s").alias("share"), (F.col("s") > 0.5).cast("int").alias("vote"))

@@ -10,7 +10,7 @@ from ..operators import labels as lb
 from ..operators import metrics as mt
 from ..operators import sampling as sp
 from ..sources import taxonomy as tx
-from ..sources.flows import flows
+from ..sources.flows import flows, load_table
 from .common import labelled_flows, query, scored_flows
 from .sqlparts import (class_case, confusion_sql, mcc_sql, outcome_sql, rates_sql,
                        snapshot_sql, with_base)
@@ -366,3 +366,16 @@ def labelled_mcc(spark, sf_dir):
     j = d.join(lab, "doc_id").withColumn("pred", (F.col("source") == "forum").cast("int"))
     conf = mt.confusion(j, "toxic", "pred", by=["lang"])
     return mt.rates(mt.with_mcc(conf), keep=["lang", "mcc"])
+
+
+@query("dataset_changed", """
+select 'orders' as dataset, count(*) as old_n_rows, count(*) as n_rows, 0 as changed from orders
+union all select 'customer', count(*), count(*) filter (where c_acctbal >= 0), 1 from customer
+union all select 'supplier', null, count(*), 1 from supplier""")
+def dataset_changed(spark, sf_dir):
+    """AGG15: a second run against the stored profiles of the first: orders as before, customer with
+    fewer rows, supplier new."""
+    store = mt.ProfileStore(spark)
+    orders, customer, supplier = (load_table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    store.changes({"orders": orders, "customer": customer}, 0).count()
+    return store.changes({"orders": orders, "customer": customer.where("c_acctbal >= 0"), "supplier": supplier}, 1)

@@ -80,6 +80,18 @@ def append_by_position(spark, sf_dir):
     return rel.append_column_by_key(feats, target, "flow_id")
 
 
+@query("append_by_file_order", with_base(
+    "select protocol_type, src_bytes, count, serror_rate, y_any from lf"))
+def append_by_file_order(spark, sf_dir):
+    """JON2 by file order: a CSV file of features and a parquet file of targets, both without a key."""
+    lf = labelled_flows(spark, sf_dir)
+    features, targets = shared_path(spark, "features"), shared_path(spark, "file-targets")
+    lf.select("protocol_type", "src_bytes", "count", "serror_rate").write.option("header", True).csv(features)
+    lf.select("y_any").write.parquet(targets)
+    left = spark.read.option("header", True).schema("protocol_type string, src_bytes double, count double, serror_rate double").csv(features)
+    return rel.append_by_file_order(left, spark.read.parquet(targets))
+
+
 @query("gather_subset", with_base(
     "select flow_id, pred from scored where label in ('rootkit', 'guess_passwd')",
     extra=""))

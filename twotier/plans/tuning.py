@@ -29,12 +29,12 @@ FRONT_OBJECTIVES = ["obj_tpr", "obj_fpr"]
 def nb_trial_counts(spark, sf_dir) -> DataFrame:
     """Per trial: both layers' confusion counts on the validation rows.
 
-    One scan of the validation rows: scaled features are projected once,
-    every trial's prediction is one more column, and a single aggregate
-    produces all counts.  The result (one row per trial, bounded) is
-    checkpointed so the objective / front / scenario steps reuse it.
+    One scan of the validation rows: scaled features are projected once, every row carries one
+    array with all trials' predictions, and its elements are counted by trial (partial
+    aggregation: as many rows as trials leave a task).  The result is checkpointed so that the
+    objective / front / scenario steps reuse it.
     """
-    trials = tu.sample_trials(spark, SPACE, N_TRIALS).collect()  # bounded: N_TRIALS rows
+    trials = sorted(tu.sample_trials(spark, SPACE, N_TRIALS).collect(), key=lambda t: t["trial_id"])  # bounded: N_TRIALS rows
     (mm1, nb1), (mm2, nb2), test = fit_layer_models(spark, sf_dir)
     x = test.select(
         "y_l1", "y_l2", F.col("attack_class").isin(L2_CLASSES).alias("_l2"),
@@ -42,29 +42,14 @@ def nb_trial_counts(spark, sf_dir) -> DataFrame:
         *[mm2.expr(c).alias(f"_b_{c}") for c in nb2.features])
     in1 = {c: F.col(f"_a_{c}") for c in nb1.features}
     in2 = {c: F.col(f"_b_{c}") for c in nb2.features}
-    preds = []
-    for t in trials:
-        i = t["trial_id"]
-        preds.append((nb1.with_smoothing(t["vs1"]).decision(in1) > F.lit(0.0)).cast("int").alias(f"p1_{i}"))
-        preds.append((nb2.with_smoothing(t["vs2"]).decision(in2) > F.lit(0.0)).cast("int").alias(f"p2_{i}"))
-    x = x.select("y_l1", "y_l2", "_l2", *preds)
-    y1, y2, l2 = F.col("y_l1"), F.col("y_l2"), F.col("_l2")
-    aggs = []
-    for t in trials:
-        i = t["trial_id"]
-        p1, p2 = F.col(f"p1_{i}"), F.col(f"p2_{i}")
-        for name, cond in {
-            "l1_tp": (y1 == 1) & (p1 == 1), "l1_fp": (y1 == 0) & (p1 == 1),
-            "l1_tn": (y1 == 0) & (p1 == 0), "l1_fn": (y1 == 1) & (p1 == 0),
-            "l2_tp": l2 & (y2 == 1) & (p2 == 1), "l2_fp": l2 & (y2 == 0) & (p2 == 1),
-            "l2_tn": l2 & (y2 == 0) & (p2 == 0), "l2_fn": l2 & (y2 == 1) & (p2 == 0),
-        }.items():
-            aggs.append(F.sum(F.when(cond, 1).otherwise(0)).cast("bigint").alias(f"t{i}_{name}"))
-    wide = x.agg(*aggs)
-    names = ["l1_tp", "l1_fp", "l1_tn", "l1_fn", "l2_tp", "l2_fp", "l2_tn", "l2_fn"]
-    parts = ", ".join(f"{t['trial_id']}L, " + ", ".join(f"t{t['trial_id']}_{n}" for n in names)
-                      for t in trials)
-    long = wide.select(F.expr(f"stack({len(trials)}, {parts}) as (trial_id, {', '.join(names)})"))
+    both = F.array(*[F.struct((nb1.with_smoothing(t["vs1"]).decision(in1) > F.lit(0.0)).alias("p1"),
+                              (nb2.with_smoothing(t["vs2"]).decision(in2) > F.lit(0.0)).alias("p2")) for t in trials])
+    each = x.select("y_l1", "y_l2", "_l2", F.posexplode(both).alias("_i", "p"))
+    p1, p2, y1, y2, l2 = F.col("p.p1"), F.col("p.p2"), F.col("y_l1") == 1, F.col("y_l2") == 1, F.col("_l2")
+    long = each.groupBy("_i").agg(*[F.count_if(cond).alias(name) for name, cond in {
+        "l1_tp": y1 & p1, "l1_fp": ~y1 & p1, "l1_tn": ~y1 & ~p1, "l1_fn": y1 & ~p1,
+        "l2_tp": l2 & y2 & p2, "l2_fp": l2 & ~y2 & p2, "l2_tn": l2 & ~y2 & ~p2, "l2_fn": l2 & y2 & ~p2}.items()])
+    long = long.withColumnRenamed("_i", "trial_id")
     params = spark.createDataFrame([(t["trial_id"], t["vs1"], t["vs2"], t["beta"]) for t in trials],
                                    "trial_id long, vs1 double, vs2 double, beta double")
     return cut_lineage(params.join(F.broadcast(long), "trial_id"))

@@ -85,3 +85,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back: later steps read it, and a
+    lost executor costs no recomputation."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
