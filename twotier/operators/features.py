@@ -133,6 +133,7 @@ def feature_target_corr(df: DataFrame, features: list[str], y: str) -> DataFrame
     return wide.select(F.expr(stack)).withColumn("r", r6("r"))
 
 
+# The four tests with their thresholds on the correlation.
 ICFS_TESTS = {
     # name: (population labels or None for all rows, positive labels, threshold, layer)
     "dos": (None, tx.ICFS_DOS, 0.1, 1),
@@ -174,11 +175,13 @@ def icfs_correlations(df: DataFrame, features: list[str], label: str = "label")
     return df.sparkSession.createDataFrame(rows, "test string, feature string, r double")
 
 
-def select_features_icfs(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+def select_features_icfs(df: DataFrame, features: list[str], label: str = "label",
+                         thresholds: dict[str, float] | None = None) -> DataFrame:
     """FEA7: per layer, features passing |r| > threshold in BOTH of its tests
-    (set intersection).  Returns (layer, feature)."""
+    (set intersection).  Returns (layer, feature).  ``thresholds`` replaces those of some tests."""
     corr = icfs_correlations(df, features, label)
-    thr = F.create_map(*[x for n, (_, _, t, _) in ICFS_TESTS.items() for x in (F.lit(n), F.lit(t))])
+    own = {n: t for n, (_, _, t, _) in ICFS_TESTS.items()} | (thresholds or {})
+    thr = F.create_map(*[x for n, t in own.items() for x in (F.lit(n), F.lit(t))])
     lay = F.create_map(*[x for n, (_, _, _, l) in ICFS_TESTS.items() for x in (F.lit(n), F.lit(l))])
     passed = corr.where(F.abs(F.col("r")) > thr[F.col("test")]).withColumn("layer", lay[F.col("test")])
     return (passed.groupBy("layer", "feature").agg(F.countDistinct("test").alias("_n"))

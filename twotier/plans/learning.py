@@ -322,6 +322,17 @@ query("icfs_l1", _icfs_layer_sql(1))(_icfs_layer(1))
 query("icfs_l2", _icfs_layer_sql(2))(_icfs_layer(2))
 
 
+LOW_THRESHOLD = 0.004
+
+
+@query("icfs_l1_low", _icfs_layer_sql(1).replace("0.1 as thr", f"{LOW_THRESHOLD!r} as thr"))
+def icfs_l1_low(spark, sf_dir):
+    """FEA7, layer 1, at a threshold that some features pass in both tests."""
+    train, _ = split_frames(spark, sf_dir)
+    sel = fe.select_features_icfs(train, NUM, thresholds={"dos": LOW_THRESHOLD, "probe": LOW_THRESHOLD})
+    return sel.where(F.col("layer") == 1).select("layer", "feature")
+
+
 def _icfs_corr_sql() -> str:
     tests = []
     for name, (pop, pos, _thr, _layer) in fe.ICFS_TESTS.items():

@@ -97,7 +97,7 @@ def _trial_counts_sql() -> str:
 TRIALS_EXTRA = _trial_counts_sql()
 
 
-def _obj_sql(pre: str = "l1") -> str:
+def _obj_sql(pre: str = "l1", mode: str = "reference") -> str:
     tp, fp, tn, fn = (f"cast({pre}_{c} as double)" for c in ("tp", "fp", "tn", "fn"))
 
     def rz(n, d):
@@ -109,7 +109,7 @@ def _obj_sql(pre: str = "l1") -> str:
     for n in L1_OBJECTIVES:
         v = rates[n]
         if n in ("fpr", "fnr"):
-            v = rz("1e0", v)
+            v = rz("1e0", v) if mode == "reference" else f"(1e0 - {v})"
         cols.append(f"round({v}, 6) as obj_{n}")
     return ", ".join(cols)
 
@@ -172,6 +172,34 @@ def picked_trial(spark, sf_dir):
     return tu.pick_trial(tu.pareto_front(ov, FRONT_OBJECTIVES), FRONT_OBJECTIVES)
 
 
+_CORRECTED = TRIALS_EXTRA + ",\n" + f"""ov as (select 1 as layer, trial_id, {_obj_sql('l1', 'corrected')} from tc
+  union all select 2, trial_id, {_obj_sql('l2', 'corrected')} from tc)"""
+
+
+def _corrected(spark, sf_dir) -> DataFrame:
+    t = nb_trial_counts(spark, sf_dir)
+    layers = [t.select(F.lit(n).alias("layer"), "trial_id", *tu.objective_columns(
+        L1_OBJECTIVES, "corrected", *[f"l{n}_{c}" for c in ("tp", "fp", "tn", "fn")])) for n in (1, 2)]
+    return layers[0].union(layers[1])
+
+
+@query("objective_values_corrected", with_base("select * from ov", extra=_CORRECTED))
+def objective_values_corrected(spark, sf_dir):
+    """TUN3 (corrected mode), both layers: error rates as 1 - rate, all maximised."""
+    return _corrected(spark, sf_dir)
+
+
+@query("picked_trial_l2", with_base("""
+select a.trial_id, a.obj_tpr, a.obj_fpr from ov a where a.layer = 2
+and not exists (select 1 from ov b where b.layer = 2 and b.obj_tpr >= a.obj_tpr and b.obj_fpr >= a.obj_fpr
+                and (b.obj_tpr > a.obj_tpr or b.obj_fpr > a.obj_fpr))
+order by a.obj_tpr desc, a.obj_fpr desc, a.trial_id limit 1""", extra=_CORRECTED))
+def picked_trial_l2(spark, sf_dir):
+    """TUN5 (corrected mode), layer 2: the trial of the front with the largest first objective."""
+    ov = _corrected(spark, sf_dir).where("layer = 2").select("trial_id", *FRONT_OBJECTIVES)
+    return tu.pick_trial(tu.pareto_front(ov, FRONT_OBJECTIVES), FRONT_OBJECTIVES, mode="corrected")
+
+
 def _scen_sql() -> str:
     def r(pre):
         tp, fp, tn, fn = (f"cast({pre}_{c} as double)" for c in ("tp", "fp", "tn", "fn"))
@@ -212,3 +240,12 @@ def scenario_scores(spark, sf_dir):
 def scenario_best(spark, sf_dir):
     """TUN6: the best trial under each scenario's direction."""
     return tu.best_per_scenario(scenario_frame(spark, sf_dir))
+
+
+@query("scenario_scores_special", with_base("""
+select trial_id, s1, s2, s3, s4, round((coalesce(cast(l1_fn as double) / nullif(cast(l1_fn + l1_tp as double), 0), 0e0)
+  + coalesce(cast(l2_fn as double) / nullif(cast(l2_fn + l2_tp as double), 0), 0e0)) / 2e0, 6) as adaptive
+from sc join tc using (trial_id)""", extra=SC_EXTRA))
+def scenario_scores_special(spark, sf_dir):
+    """TUN6, the branch in which the adaptive score is the mean miss rate of both layers."""
+    return tu.scenario_scores(nb_trial_counts(spark, sf_dir), special=True).select("trial_id", "s1", "s2", "s3", "s4", "adaptive")
