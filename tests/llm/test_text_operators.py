@@ -178,3 +178,14 @@ def test_pii_edges(spark, awkward, empty):
     assert pii.pseudonymized(empty).count() == 0
     out = pii.pseudonymize_column(awkward.withColumn("text", F.concat("text", F.lit(" 42.144.35.254"))))
     assert out.columns == awkward.columns and out.where("text like '%42.144.35.254'").count() == 0
+
+
+def test_secret_scan_of_a_megabyte_is_linear():
+    import time
+    scan = secret_scan.scanner()()
+    for text in ("secret:token:" + "n" * 10**6, "token=" + "ab" * 500_000, "f" * 10**6, "eyJ" * 300_000):
+        began = time.perf_counter()
+        scan.spans(text.encode())
+        assert time.perf_counter() - began < 10  # quadratic: about a day
+    assert scan.spans(b"secret:token:" + b"n" * 50) == []
+    assert scan.spans(b"secret:token:n=token=abcdefgh")[0][:2] == (15, 29)

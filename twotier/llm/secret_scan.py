@@ -224,18 +224,17 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of every match that is long enough: leftmost, longest and
-        without overlap within a rule, in byte positions, by start and rule."""
+        without overlap within a rule, in byte positions, by start and rule.  What ends inside
+        a run can go on to its end, so one backward pass from there finds the run's match."""
         out = []
         for rule, runs in enumerate(self._runs(data)):
             floor = 0
-            for first, last in runs:
-                for end in range(max(first, floor + 1), last + 1):
-                    start = self._start(rule, data, end, floor)
-                    if start is not None:
-                        floor = last
-                        if self._long_enough(rule, data[start:last]):
-                            out.append((start, last, rule))
-                        break
+            for _, last in runs:
+                start = self._start(rule, data, last, floor)
+                if start is not None:
+                    floor = last
+                    if self._long_enough(rule, data[start:last]):
+                        out.append((start, last, rule))
         return sorted(out, key=lambda s: (s[0], s[2]))
 
     @staticmethod
