@@ -112,14 +112,6 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
         *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in value_cols])
 
 
-def prefix_digits_for(n_max: int) -> int:
-    """Hex-prefix length so that both the histogram and the cut bucket hold
-    about sqrt(n) rows."""
-    if n_max <= 1:
-        return 1
-    return max(1, min(8, math.ceil(math.log(max(2.0, math.sqrt(n_max)), 16))))
-
-
 def kth_hash(df: DataFrame, group_cols: list[str], hash_col: str, k: DataFrame,
              k_col: str = "k", digits: int = 3) -> DataFrame:
     """Per group, the value of ``hash_col`` (hex md5, unique) at rank ``k``.

@@ -1,4 +1,4 @@
-"""Iterative learners on Spark ML (CLF1, CLF4, CLF7-CLF10, CLF13, FEA8)
+"""Iterative learners on Spark ML (CLF1, CLF4, CLF7, CLF8, CLF10, CLF13, FEA8)
 and model persistence (MOD1).
 
 Parameter mapping from the reference's library names:
@@ -7,8 +7,7 @@ Parameter mapping from the reference's library names:
   ``minInstancesPerNode = max(min_samples_leaf, ceil(min_samples_split / 2))``.
 - criterion ``log_loss`` is ``entropy``; ``max_features`` None -> ``all``,
   ``auto`` -> ``sqrt``.
-- Extra trees have no random-threshold splitter in Spark: the nearest variant
-  is a random forest without bootstrap (documented, not equivalent).
+Extra trees are in ``extra_trees``.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +48,6 @@ def make_classifier(kind: str, params: dict | None = None, seed: int = 42, featu
     if kind == "rf":
         p = forest_params(params)
         return RandomForestClassifier(numTrees=p.pop("numTrees", 50), seed=seed, **p, **common)
-    if kind == "extra_trees":
-        p = forest_params(params)
-        return RandomForestClassifier(numTrees=p.pop("numTrees", 50), seed=seed, bootstrap=False,
-                                      **p, **common)
     if kind == "dt":
         p = forest_params(params)
         p.pop("featureSubsetStrategy", None)
@@ -75,10 +69,6 @@ def make_classifier(kind: str, params: dict | None = None, seed: int = 42, featu
     raise ValueError(kind)
 
 
-def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
-    return df.withColumn(out, vector_to_array(F.col(prob_col))[1])
-
-
 def fit_model(train: DataFrame, kind: str, params: dict | None = None, features: str = "features",
               y: str = "y", n_features: int | None = None) -> PipelineModel:
     data = train.withColumn("label_i", F.col(y).cast("double"))

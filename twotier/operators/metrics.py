@@ -101,11 +101,6 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
             .select(y, "n", r6(F.col("total") / (F.lit(2.0) * F.col("n"))).alias("weight")))
 
 
-def add_class_weight(df: DataFrame, y: str, weight_col: str = "weight") -> DataFrame:
-    w = class_weights(df, y).select(y, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), y, "left")
-
-
 def dataset_profile(df: DataFrame, name: str) -> DataFrame:
     """AGG15 / AGG16: column count, names, row count."""
     cols = df.columns
@@ -243,7 +238,3 @@ def shape(df: DataFrame) -> tuple[int, int]:
 def scored_metrics(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """AGG3 + AGG4 + AGG5 in one aggregate."""
     return with_mcc(rates(confusion(df, y, pred, by), keep=by))
-
-
-def pct(col: str) -> Column:
-    return r6(F.col(col))

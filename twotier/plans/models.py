@@ -108,12 +108,19 @@ def fit_detector(train: DataFrame, **sizes) -> Detector:
     return Detector.fit(train.select(raw), L1_FEATURES, L2_FEATURES, L2_CLASSES, CATEGORICAL, **sizes)
 
 
+def default_detector(spark, sf_dir, n_estimators: int = 50, max_depth: int = 12, landmarks: int = 32) -> DataFrame:
+    """The test rows scored by the default detector and tagged by CAS1: flow_id, labels, l1_pred,
+    p2, tag."""
+    train, test = split_frames(spark, sf_dir)
+    detector = fit_detector(train, n_estimators=n_estimators, max_depth=max_depth, landmarks=landmarks)
+    return cas.cascade_online(detector.score(test), "l1_pred", "p2")
+
+
 @query("rf_svm_cascade")
 def rf_svm_cascade(spark, sf_dir):
     """CAS1 + CAS3 of the default detector (random forest, then landmark RBF SVM, each on its
     layer's PCA features) on the test rows: counts, rates and MCC per layer."""
-    train, test = split_frames(spark, sf_dir)
-    scored = cas.cascade_online(fit_detector(train).score(test), "l1_pred", "p2")
+    scored = default_detector(spark, sf_dir)
     w = cas.outcome_counts_wide(scored)
     per_layer = w.select(F.expr("stack(2, 1, l1_tp, l1_fp, l1_tn, l1_fn, quarantined, total, "
                                 "2, l2_tp, l2_fp, l2_tn, l2_fn, quarantined, total) as (layer, tp, fp, tn, fn, quarantined, total)"))
