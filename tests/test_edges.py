@@ -281,3 +281,10 @@ def test_profiles_of_earlier_runs(spark):
     assert {r["dataset"]: r["changed"] for r in store.changes({"a": a, "b": a}, 1).collect()} == {"a": 0, "b": 1}
     assert {r["dataset"]: r["changed"] for r in store.changes({"a": a.withColumn("x", F.lit(1))}, 2).collect()} == {"a": 1, "b": 1}
     assert {r["dataset"]: r["changed"] for r in store.changes({"a": a}, 1).collect()}["a"] == 0  # a replay of run 1
+
+
+def test_too_many_categories_raise(spark, monkeypatch):
+    monkeypatch.setattr(fe, "MAX_CATEGORIES", 5)
+    assert len(fe.fit_onehot(spark.range(5).selectExpr("cast(id as string) c"), ["c"]).categories["c"]) == 5
+    with pytest.raises(ValueError):
+        fe.fit_onehot(spark.range(6).selectExpr("cast(id as string) c"), ["c"])

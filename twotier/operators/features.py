@@ -76,13 +76,18 @@ class OneHot:
         return df.select(*keep, *self.columns())
 
 
+MAX_CATEGORIES = 10_000
+
+
 def fit_onehot(df: DataFrame, cols: list[str]) -> OneHot:
-    """FEA2 fit: sorted distinct categories of every column in ONE aggregate.
-    ``collect_set`` de-duplicates map-side; each set is bounded by the
-    column's cardinality (categorical fields), which is all that reaches the
-    driver."""
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
-    return OneHot({c: list(row[c] or []) for c in cols})
+    """FEA2 fit: sorted distinct categories of every column in ONE aggregate of
+    (column, value) pairs, de-duplicated in the tasks.  At most ``MAX_CATEGORIES``
+    pairs reach the driver; more raise: such a field is no category."""
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    rows = df.select(pair.alias("p")).select("p.c", "p.v").where("v is not null").distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories in {cols}")
+    return OneHot({c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols})
 
 
 # --------------------------------------------------------------------------- z-score
