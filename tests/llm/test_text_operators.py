@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,36 @@ def test_language_distance_matches_plain_python():
     assert dict(zip(codes.tolist(), counts.tolist())) == want
 
 
+def plain_distances(profiles, ranked, text):
+    """Out-of-place distance to each profile, n-gram by n-gram."""
+    codes, counts = language_id.grams(text)
+    own = [c for _, c in sorted(zip((-counts).tolist(), codes.tolist()))][:profiles.size]
+    return {lang: sum(abs(own.index(g) - r.index(g)) if g in r else profiles.size for g in own) for lang, r in ranked.items()}, own
+
+
+def test_language_prediction_is_the_smallest_plain_distance():
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdeé日") for _ in range(draw.randint(1, 6))) for _ in range(60)]
+    ranked = {}
+    for n, lang in enumerate(["x", "y", "z"]):
+        codes, counts = language_id.grams(plain(words[n * 15:n * 15 + 30], 200, n))
+        ranked[lang] = [c for _, c in sorted(zip((-counts).tolist(), codes.tolist()))][:50]
+    profiles = language_id.Profiles(ranked, size=50)
+    for n in range(200):
+        text = plain(words, draw.randint(1, 40), n)
+        want, own = plain_distances(profiles, ranked, text)
+        best = min(sorted(want), key=want.get)
+        got, score = profiles.predict(text)
+        assert got == best and abs(score - (1 - want[best] / (50 * len(own)))) < 1e-12
+
+
+def test_more_languages_than_the_bound_keep_the_most_frequent(spark):
+    rows = [(i, plain(EN, 20, i), "en" if i % 3 else f"dirty{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language_id.learn(docs, max_languages=1).langs == ["en"]
+    assert len(language_id.learn(docs).langs) > 5
+
+
 def test_language_edges(spark, awkward, empty):
     profiles = language_id.learn(awkward)
     rows = language_id.identify(awkward, profiles).collect()
@@ -181,7 +212,6 @@ def test_pii_edges(spark, awkward, empty):
 
 
 def test_secret_scan_of_a_megabyte_is_linear():
-    import time
     scan = secret_scan.scanner()()
     for text in ("secret:token:" + "n" * 10**6, "token=" + "ab" * 500_000, "f" * 10**6, "eyJ" * 300_000):
         began = time.perf_counter()
@@ -189,3 +219,37 @@ def test_secret_scan_of_a_megabyte_is_linear():
         assert time.perf_counter() - began < 10  # quadratic: about a day
     assert scan.spans(b"secret:token:" + b"n" * 50) == []
     assert scan.spans(b"secret:token:n=token=abcdefgh")[0][:2] == (15, 29)
+
+
+def test_email_search_equals_the_pattern():
+    draw, whole = random.Random(9), re.compile(pii.PATTERNS["email"])
+    for _ in range(30_000):
+        text = "".join(draw.choice(["a", "b7", "@", ".", "-", "+", "_", "%", " ", "com", "x.org", "é", "@q.de"])
+                       for _ in range(draw.randint(0, 16)))
+        at = draw.randint(0, 4)
+        found = whole.search(text, at)
+        assert pii.next_email(text, at) == (found.span() if found else None), (text, at)
+
+
+def test_first_kind_and_leftmost_place_win():
+    every = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    draw = random.Random(10)
+    parts = ["bo@x.org", "42.144.35.254", "2020-02-29", " ", ".", "+1 (988) 555-2485", "4785380592391139", "a", "7", "@", "-"]
+    for _ in range(10_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 8)))
+        finder, at = pii.Finder(text), 0
+        while at <= len(text):
+            found = every.search(text, at)
+            assert finder.find(at) == ((found.lastgroup, *found.span()) if found else None), (text, at)
+            at += draw.randint(0, 5) or 1
+
+
+def test_pii_scan_of_a_megabyte_is_linear():
+    forward, backward = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", backwards=True)
+    for text in ("x1" * 500_000, "a." * 500_000 + " 1", "a@" * 500_000, "@" + "b-" * 500_000, "a@" + "b." * 500_000, "7 " * 20_000,
+                 "n" * 10**6 + "@mail.example.com"):
+        began = time.perf_counter()
+        new, spans = forward.replace(text)
+        assert time.perf_counter() - began < 20  # quadratic: about half an hour
+        assert len(new) == len(text)
+    assert [k for k, _, _ in spans] == ["email"] and new != text and backward.replace(new)[0] == text

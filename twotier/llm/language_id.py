@@ -23,7 +23,8 @@ UNDETERMINED = "und"
 #: Profiles are counted over about so many labelled documents of each language,
 #: chosen by hash.
 TRAIN_DOCS = 3000
-#: More learned languages than this are refused: profiles go with every task.
+#: Profiles go with every task: so many languages are learned, those of the most labelled
+#: documents (ties: first in the alphabet).  Documents of others get a learned one.
 MAX_LANGUAGES = 2000
 _TABLE = 0x3000
 _LETTER = np.array([chr(c).isalpha() for c in range(_TABLE)])
@@ -93,20 +94,20 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (self.size * len(own)))
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE,
+          max_languages: int = MAX_LANGUAGES) -> Profiles:
     """Profiles from text and language of the documents that are not held out."""
     labelled = docs.where(~held_out()).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n"))
-              .limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+              .orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     ranked: dict[str, list[int]] = {}
     if counts:
-        share: Column = F.lit(None)
-        for lang, n in counts.items():
-            share = F.when(F.col("lang") == lang, min(1.0, train_docs / n)).otherwise(share)
-        chosen = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000
-        sample = labelled.where(chosen).select("lang", "text")
+        shares = docs.sparkSession.createDataFrame([(lang, min(1.0, train_docs / n)) for lang, n in counts.items()],
+                                                   "lang string, share double")
+        chosen = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000)) < F.col("share") * 1_000_000
+        # one row a language
+        sample = (labelled.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(chosen)
+                  .select("lang", "text"))
 
         def make():
             def work(langs, texts):

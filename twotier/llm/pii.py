@@ -101,8 +101,49 @@ PATTERNS = {
 #: What separates the tokens of a value: where the longest match does not validate, it
 #: may be a value and further tokens (a check code, an expiry, an amount).
 TOKENS = {"iban": " ", "phone": " .-", "card": " -"}
-_ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+#: All kinds but e-mail addresses, which are found from their ``@``.
+_OTHER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k != "email"))
+_LOCAL = re.compile("[A-Za-z0-9._%+-]*")
+_LOCAL_START = re.compile("[A-Za-z0-9]")
+_DOMAIN = re.compile(PATTERNS["email"].split("@", 1)[1])
 _HINT = re.compile(r"[0-9@]")
+#: Signs of an address that one network permutes; longer addresses have several.
+EMAIL_SIGNS = 320
+
+
+def next_email(text: str, at: int) -> tuple[int, int] | None:
+    """Start and end of the leftmost match of the e-mail pattern from ``at`` on.  The
+    name before an ``@`` holds none, so that each sign is read a fixed number of times
+    where the pattern alone would read a long run again from each of its signs."""
+    sign = text.find("@", at)
+    while sign >= 0:
+        run = _LOCAL.match(text[at:sign][::-1]).end()  # type: ignore[union-attr]
+        start = _LOCAL_START.search(text, sign - run, sign)
+        domain = _DOMAIN.match(text, sign + 1) if start else None
+        if start and domain:
+            return start.start(), domain.end()
+        at, sign = sign + 1, text.find("@", sign + 1)
+    return None
+
+
+class Finder:
+    """The leftmost match of any kind from a place on; ties go to the first kind of
+    PATTERNS.  Places must not decrease from call to call."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.email: tuple[int, int] | None = (-1, -1)
+        self.other: re.Match | None = None
+        self.other_from = -1  # the place from which ``other`` was searched
+
+    def find(self, at: int) -> tuple[str, int, int] | None:
+        if self.email and self.email[0] < at:
+            self.email = next_email(self.text, at)
+        if self.other_from < 0 or (self.other and self.other.start() < at):
+            self.other, self.other_from = _OTHER.search(self.text, at), at
+        if self.email and (self.other is None or self.email[0] <= self.other.start()):
+            return "email", *self.email
+        return (self.other.lastgroup, self.other.start(), self.other.end()) if self.other else None  # type: ignore
 
 
 class Pseudonyms:
@@ -250,7 +291,10 @@ class Pseudonyms:
         kinds = [("0", 10) if c.isdigit() else ("A", 26) if c.isupper() else ("a", 26) if c.islower() else None
                  for c in own]
         values = [ord(c) - ord(k[0]) for c, k in zip(own, kinds) if k]
-        new = iter(self._digits("email", values, [k[1] for k in kinds if k]))
+        sizes, new = [k[1] for k in kinds if k], []
+        for n in range(0, len(values), EMAIL_SIGNS):
+            new += self._digits(f"email {n}" if n else "email", values[n:n + EMAIL_SIGNS], sizes[n:n + EMAIL_SIGNS])
+        new = iter(new)
         return "".join(chr(next(new) + ord(k[0])) if k else c for c, k in zip(own, kinds)) + "." + top
 
     def _longest(self, kind: str, text: str, start: int, end: int) -> tuple[str | None, int]:
@@ -268,9 +312,10 @@ class Pseudonyms:
         """The text with pseudonyms, and (kind, start, end) of each in the new text."""
         if not text or not _HINT.search(text):
             return text, []
-        out, spans, at, size, found = [], [], 0, 0, _ANY.search(text)
+        finder = Finder(text)
+        out, spans, at, size, found = [], [], 0, 0, finder.find(0)
         while found:
-            kind, start, end = found.lastgroup, found.start(), found.end()
+            kind, start, end = found
             new, end = self._longest(kind, text, start, end)
             if new is None:  # another kind may begin at the same place
                 for kind in list(PATTERNS)[list(PATTERNS).index(kind) + 1:]:
@@ -280,14 +325,13 @@ class Pseudonyms:
                         if new is not None:
                             break
             if new is None:
-                end = start + 1
-                found = _ANY.search(text, end)
+                found = finder.find(start + 1)
                 continue
             out += [text[at:start], new]
             size += start - at
             spans.append((kind, size, size + len(new)))
             size += len(new)
-            at, found = end, _ANY.search(text, end)
+            at, found = end, finder.find(end)
         return ("".join(out) + text[at:] if out else text), spans
 
 
