@@ -138,6 +138,16 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in found} >= {(i, i) for i in range(6)}
 
 
+def test_fingerprint_equals_plain_minima():
+    family = words.MinHash(fingerprints.PERMUTATIONS)
+    for seed in range(5):
+        text = plain(EN + FR, 30 + 400 * seed, seed)
+        x = [int(h) >> 32 for h in words.shingle_set(text)]
+        want = "".join(f"{min((int(a) * v + int(b)) % 2**32 for v in x) % 2**16:04x}"
+                       for a, b in zip(family.a.ravel(), family.b.ravel()))
+        assert fingerprints.as_hex(fingerprints.fingerprint(text, family)) == want
+
+
 def test_fingerprints_follow_the_next_document(spark, awkward, empty):
     rows = [(i * 7 % 101, plain(EN + FR, 5 + i, i) if i % 9 else "") for i in range(60)]
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(

@@ -89,8 +89,9 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     first; each range also holds a copy (borrowed) of the first row of the range below
     it, and the lowest range one of the first row of all."""
     parts = shuffle_partitions(docs.sparkSession)
-    cuts = docs.approxQuantile("doc_id", [i / (parts * BUCKETS_PER_PARTITION)
-                                          for i in range(1, parts * BUCKETS_PER_PARTITION)], 0.0005)
+    ranges = parts * BUCKETS_PER_PARTITION
+    # an eighth of a range's share of the rows is the error of a cut
+    cuts = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], min(0.0005, 1 / (8 * ranges)))
     cuts = np.unique(np.array(cuts, np.int64))
     # a range is the number of cuts below the id; null ids come last, below all others
     deal = F.arrow_udf(lambda ids: pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False)).astype(np.int32)),
