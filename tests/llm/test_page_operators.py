@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from twotier.llm import html_extraction, url_filter
 from twotier.llm.html_extraction import align, main_slots, parse, wrapper_of
 
+from .conftest import EN, plain
+
 PAGE = "page_id bigint, url string, html string, host string, share int, slots string, path string, rule string"
 
 
@@ -207,3 +209,22 @@ def test_pipeline_stages(spark, awkward, empty, sf_dir):
         assert ids == ({r["doc_id"] for r in now.collect()})
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_pipeline_stages_with_repeated_and_null_ids(spark, sf_dir):
+    import corpus_pipeline
+    item = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r["text"].split()) >= 8)
+    a, b, c = (plain(EN, 40, seed) for seed in (101, 102, 103))
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, c), (3, f"{c} {item}"), (None, c + " end"), (None, c + " end"), (None, item),
+            (None, None), (None, None), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row key", F.lit(1))
+    stage = dict(corpus_pipeline.STAGES)
+
+    def found(df):
+        assert df.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    left = set(rows) - {(2, a)}  # equal rows are one; 1 has the links of both its texts
+    assert found(stage["near_dedup"](spark, docs, sf_dir)) == sorted(left, key=str)
+    assert found(stage["decontamination"](spark, docs, sf_dir)) == sorted(
+        (r for r in rows if not (r[1] or "").endswith(item)), key=str)
