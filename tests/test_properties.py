@@ -127,6 +127,15 @@ def test_rf_trials_one_row_per_trial(spark, sf_dir):
     assert all(0.0 <= r["obj_tpr"] <= 1.0 for r in rows)
 
 
+def test_retrained_trials_are_read_back_as_fitted(spark, sf_dir):
+    rows = {r["layer"]: r for r in Q["retrain_trials"](spark, sf_dir).collect()}
+    assert set(rows) == {1, 2}
+    for r in rows.values():
+        assert r["tp"] + r["tn"] == r["n_tuned_right"] and r["version"] == 1 and r["seconds"] > 0
+        assert 2 * r["n_tuned_right"] > r["tp"] + r["tn"] + r["fp"] + r["fn"]
+    assert "max_depth" in rows[1]["params"] and "kernel" in rows[2]["params"]
+
+
 def test_pca_2d_by_class_covers_rows(spark, sf_dir):
     rows = Q["pca_2d_by_class"](spark, sf_dir).collect()
     assert sum(r["n"] for r in rows) == labelled_flows(spark, sf_dir).count()

@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from ..operators.features import MinMax
 from .detector import Detector
 from .naive_bayes import GaussianNB
+from .svm_trials import KernelTrials
+from .trees import load_model, save_model
 
 
 def _nb_to_dict(mm: MinMax, nb: GaussianNB) -> dict:
@@ -59,6 +62,12 @@ class Registry:
         detector.save(self.spark, f"{self.root}/v{version}")
         self._announce(version)
 
+    def publish_trials(self, version: int, forest: PipelineModel, svm: KernelTrials) -> None:
+        """A fitted layer-1 pipeline and a fitted layer-2 kernel trial as one version."""
+        save_model(forest, f"{self.root}/v{version}/forest")
+        self._write_text(f"{self.root}/v{version}/svm", svm.to_json())
+        self._announce(version)
+
     def _announce(self, version: int) -> None:
         """Appends the number of a version whose folder is complete: nothing is
         ever overwritten, so a reader always finds a version."""
@@ -77,3 +86,7 @@ class Registry:
     def load_detector(self, version: int | None = None) -> tuple[int, Detector]:
         v = self.current_version() if version is None else version
         return v, Detector.load(self.spark, f"{self.root}/v{v}")
+
+    def load_trials(self, version: int | None = None) -> tuple[int, PipelineModel, KernelTrials]:
+        v = self.current_version() if version is None else version
+        return v, load_model(f"{self.root}/v{v}/forest"), KernelTrials.from_json(self._read_text(f"{self.root}/v{v}/svm"))
