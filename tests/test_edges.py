@@ -288,3 +288,27 @@ def test_too_many_categories_raise(spark, monkeypatch):
     assert len(fe.fit_onehot(spark.range(5).selectExpr("cast(id as string) c"), ["c"]).categories["c"]) == 5
     with pytest.raises(ValueError):
         fe.fit_onehot(spark.range(6).selectExpr("cast(id as string) c"), ["c"])
+
+
+def test_list_operators_shuffle_distinct_values_only(spark):
+    a = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, "x").when(F.col("id") % 3 == 0, "y").alias("label"))
+    b = spark.createDataFrame([("x",), ("x",), ("z",), (None,)], "label string")
+    assert {r["label"] for r in rel.intersect_lists(a, b, "label").collect()} == {"x", None}
+    assert {r["label"] for r in rel.except_lists(a, b).collect()} == {"y", None}  # a null is in no list
+    assert {r["label"] for r in rel.except_lists(b, a).collect()} == {"z", None}
+    for op in (rel.intersect_lists, rel.except_lists):  # no join: its sides were every row, one task a value
+        assert "Join" not in op(a, b, "label")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_records_are_compressed_in_bounded_files(spark, monkeypatch):
+    import glob
+
+    from twotier.session import shared_path
+    from twotier.sources import sinks
+    from twotier.sources.flows import read_flows
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 40)
+    path = shared_path(spark, "raw-bounded").removeprefix("file:")
+    df = spark.range(100).select(F.lit("tcp").alias("protocol_type"), F.col("id").cast("double").alias("src_bytes"), F.lit("normal").alias("label")).coalesce(1)
+    sinks.write_raw_records(df, path)
+    assert len(glob.glob(f"{path}/*.snappy")) == 3
+    assert sorted(r["src_bytes"] for r in read_flows(spark, path).collect()) == [float(i) for i in range(100)]

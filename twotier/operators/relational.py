@@ -156,15 +156,24 @@ def gather(scored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return scored.join(ids.select(key), key, "left_semi")
 
 
+def _sides(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+    """Each value of either list once, with the sides that hold it (``_a``, ``_b``): one aggregate with
+    map-side combine, so that only distinct values shuffle and no value's rows meet in a task."""
+    marked = a.select(col, F.lit(True).alias("_a"), F.lit(False).alias("_b")).union(
+        b.select(col, F.lit(False).alias("_a"), F.lit(True).alias("_b")))
+    return marked.groupBy(col).agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b"))
+
+
 def intersect_lists(a: DataFrame, b: DataFrame, col: str = "feature") -> DataFrame:
-    """SET1."""
-    return a.select(col).intersect(b.select(col))
+    """SET1: the distinct values of both lists (nulls are equal)."""
+    return _sides(a, b, col).where("_a and _b").select(col)
 
 
 def except_lists(a: DataFrame, b: DataFrame, col: str = "label") -> DataFrame:
     """SET2: the distinct values of ``a`` that are not in ``b`` (set
-    difference: how often a value repeats on either side does not count)."""
-    return a.select(col).distinct().join(b.select(col).distinct(), col, "left_anti")
+    difference: how often a value repeats on either side does not count; a null
+    of ``a`` is in no list)."""
+    return _sides(a, b, col).where(F.col("_a") & (~F.col("_b") | F.col(col).isNull())).select(col)
 
 
 def union_rows(*dfs: DataFrame) -> DataFrame:
