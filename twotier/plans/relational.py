@@ -158,7 +158,7 @@ def raw_flows_roundtrip(spark, sf_dir):
     sinks.write_raw_records(f, raw_path)
     back = read_flows(spark, raw_path)
     hdr_path = shared_path(spark, "headered-flows")
-    back.write.option("header", True).csv(hdr_path)
+    sinks.write_headered(back, hdr_path)
     again = read_headered(spark, hdr_path, loaded_flow_schema())
     return again.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
