@@ -153,3 +153,60 @@ def test_nearest_neighbours_vote_by_distance_then_order(spark):
         assert got["s"] == sum(points[i][1] for i in near) / 5
     few = knn.vote_share([F.col("a"), F.col("b")], [([0.0, 0.0], 1), ([1.0, 1.0], 0)])
     assert {r["s"] for r in df.select(few.alias("s")).collect()} == {0.5}
+
+
+def test_held_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from twotier import session
+    df = spark.range(0, 1000, 1, 2)
+    with session.held(df) as rows:
+        assert rows.rdd.getNumPartitions() == 2 and rows.is_cached  # small ones stay as they are
+    monkeypatch.setattr(session, "ROWS_PER_PART", 100)
+    with session.held(df) as rows:
+        sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert len(sizes) == 10 and max(sizes) <= 150 and sum(sizes) == 1000
+    assert not rows.is_cached
+
+
+def test_learners_do_not_leave_rows_in_few_tasks(spark, monkeypatch):
+    """A table of one split was one task in every pass of every learner."""
+    from twotier import session
+    from twotier.models import trees
+    monkeypatch.setattr(session, "ROWS_PER_PART", 50)
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    x = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(toy(spark).coalesce(1))
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    trees.fit_model(x, "dt", {"max_depth": 3})
+    assert seen == [8]
+
+
+def test_kernel_map_is_one_vector(spark):
+    from twotier.models import kernel as kn
+    df = toy(spark, 50)
+    kmap = kn.fit_landmark_map(df, ["a", "b", "c"], 5, "rbf", 0.5)
+    out = kmap.mapped(df, [F.col(c) for c in "abc"], ["flow_id"])
+    X = {r["flow_id"]: np.array(r[1:4]) for r in df.collect()}
+    for r in out.collect():
+        want = kn.kernel_np("rbf", X[r["flow_id"]][None, :], kmap.L, 0.5) @ kmap.W
+        assert np.allclose(r["_zf"].toArray(), want[0])
+    assert out.columns == ["flow_id", "_zf"]
+    holes = df.limit(3).withColumn("a", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="missing input"):
+        kmap.mapped(holes, [F.col(c) for c in "abc"], []).collect()
+
+
+def test_extra_trees_levels_and_nodes_agree(spark):
+    model = et.fit_extra_trees(toy(spark), ["a", "b", "c"], "y", trees=4, depth=4)
+    X = np.array([r[1:4] for r in toy(spark).collect()])
+    for t in range(4):
+        at, place = model.nodes(t, X), model.level(t, X.ravel(), np.arange(0, X.size, 3))
+        deep = at >= 2 ** model.depth
+        assert deep.any() and (at[deep] - 2 ** model.depth == place[deep]).all()
+
+
+def test_model_swap_takes_a_landing_in_one_batch(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = Q["stream_model_swap"](spark, str(tmp_path)).collect()
+    assert {r["batch_id"] for r in rows} == {1}  # a file a batch made nine or more

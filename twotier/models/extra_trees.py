@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash, uniform_from_hash
+from ..session import held
 
 # the tasks' functions go to the executors by value: a cluster needs no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,12 +52,23 @@ class ExtraTrees:
 
     def nodes(self, tree: int, X: np.ndarray) -> np.ndarray:
         """The heap index of the node that each row of X reaches; a missing value goes right."""
-        at, rows = np.ones(len(X), np.int64), np.arange(len(X))
+        at, start, flat = np.ones(len(X), np.int64), np.arange(0, X.size, X.shape[1]), np.ascontiguousarray(X).ravel()
+        inner, feature, cut = self.feature[tree] >= 0, np.maximum(self.feature[tree], 0).astype(np.int64), self.cut[tree]
         for _ in range(self.depth):
-            f = self.feature[tree][at]
-            inner = f >= 0
-            right = ~(X[rows, np.maximum(f, 0)] <= self.cut[tree][at])
-            at = np.where(inner, 2 * at + right, at)
+            right = ~(flat.take(start + feature.take(at)) <= cut.take(at))
+            at = np.where(inner.take(at), 2 * at + right, at)
+        return at
+
+    def level(self, tree: int, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The place in the deepest level that each row comes to; ``flat`` holds the rows' values,
+        ``start`` where each begins.  Rows of a leaf above go on to places without an open node."""
+        at = np.zeros(len(start), np.int64)
+        for l in range(self.depth):
+            nodes = slice(2 ** l, 2 ** (l + 1))
+            feature = np.maximum(self.feature[tree, nodes], 0).astype(np.int64)
+            x = flat.take(feature.take(at) + start)
+            at += at
+            at += ~(x <= self.cut[tree, nodes].take(at >> 1))
         return at
 
     def probability(self, df: DataFrame, out: str = "p_extra") -> DataFrame:
@@ -87,28 +99,31 @@ def node_ranges(rows: DataFrame, model: ExtraTrees) -> DataFrame:
     d = len(model.features)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        # the open nodes are those of one level: a dense array of each bound
+        trees, first = len(model.feature), 2 ** model.depth
+        low, high = (np.full((d, trees, first), np.nan) for _ in range(2))
         for batch in batches:
             X = _matrix(batch.columns[:d])
-            for t in range(len(model.feature)):
-                at = model.nodes(t, X)
-                use = np.flatnonzero(model.open[t][at])
-                order = use[np.argsort(at[use], kind="stable")]
-                if not len(order):
+            columns, start, flat = np.ascontiguousarray(X.T), np.arange(0, X.size, d), X.ravel()
+            for t in range(trees):
+                at = model.level(t, flat, start)
+                use = np.flatnonzero(model.open[t, first:2 * first].take(at))
+                if not len(use):
                     continue
-                ids, starts = np.unique(at[order], return_index=True)
-                lows, highs = (f.reduceat(X[order], starts, axis=0) for f in (np.fmin, np.fmax))
-                for i, lo, hi in zip(ids.tolist(), lows, highs):
-                    both = held.setdefault((t, i), np.full((2, d), np.nan))
-                    both[0], both[1] = np.fmin(both[0], lo), np.fmax(both[1], hi)
-        if held:
-            keys = np.repeat(np.array(list(held)), d, axis=0)
-            values = np.concatenate([v.T for v in held.values()])
-            known = ~np.isnan(values[:, 0])
+                place = at[use].astype(np.int16 if first <= 2 ** 15 else np.int64)
+                order = np.argsort(place, kind="stable")
+                place, use = place[order].astype(np.int64), use[order]
+                starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                ids = place[starts]
+                for j in range(d):
+                    x = columns[j].take(use)
+                    low[j, t, ids] = np.fmin(low[j, t, ids], np.fmin.reduceat(x, starts))
+                    high[j, t, ids] = np.fmax(high[j, t, ids], np.fmax.reduceat(x, starts))
+        f, t, i = np.nonzero(~np.isnan(low))
+        if len(f):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[known], f) for c, f in ((keys[:, 0], pa.int32()), (keys[:, 1], pa.int32()),
-                                                    (np.tile(np.arange(d), len(held)), pa.int32()),
-                                                    (values[:, 0], pa.float64()), (values[:, 1], pa.float64()))], names=schema.names)
+                [pa.array(t, pa.int32()), pa.array(first + i, pa.int32()), pa.array(f, pa.int32()),
+                 pa.array(low[f, t, i]), pa.array(high[f, t, i])], names=schema.names)
 
     return (rows.mapInArrow(run, schema).groupBy("tree", "node", "feature")
             .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"))
@@ -134,27 +149,26 @@ def cut_counts(rows: DataFrame, model: ExtraTrees, cuts: DataFrame, per_node: in
         [], "tree int, node int, feature int, cut double, n bigint, pos bigint, left_n bigint, left_pos bigint").schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = feature.shape[2]
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        trees, first = feature.shape[1], 2 ** model.depth
+        own, cuts = (a[:, :, first:2 * first] for a in (feature, cut))  # the open nodes are those of one level
+        used = np.maximum(own, 0).astype(np.int64)
+        sums = np.zeros((trees, per_node, first, 2, 2), np.int64)  # by side (left: 1) and class
         for batch in batches:
-            X, y = _matrix(batch.columns[:d]), batch.column(d).to_numpy().astype(float)
-            row = np.arange(len(X))
-            for t in range(len(model.feature)):
-                at = model.nodes(t, X)
-                for k in range(len(feature)):
-                    f = feature[k, t][at]
-                    use = f >= 0
-                    left = use & (X[row, np.maximum(f, 0)] <= cut[k, t][at])
-                    sums[t, k] = sums.get((t, k), 0) + np.stack(
-                        [np.bincount(at[m], w[m] if w is not None else None, minlength=size)
-                         for m, w in ((use, None), (use, y), (left, None), (left, y))])
-        out = []
-        for (t, k), v in sums.items():
-            for i in np.flatnonzero(v[0]).tolist():
-                out.append((t, i, int(feature[k, t, i]), float(cut[k, t, i]), *(int(c) for c in v[:, i])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(
-                zip(*out), [pa.int32()] * 3 + [pa.float64()] + [pa.int64()] * 4)], names=schema.names)
+            X, y = _matrix(batch.columns[:d]), batch.column(d).to_numpy().astype(np.int64)
+            start, flat = np.arange(0, X.size, d), X.ravel()
+            for t in range(trees):
+                at = model.level(t, flat, start)
+                code = 4 * at + y
+                for k in range(per_node):
+                    left = flat.take(start + used[k, t].take(at)) <= cuts[k, t].take(at)
+                    sums[t, k] += np.bincount(code + 2 * left, minlength=4 * first).reshape(first, 2, 2)
+        t, k, i = np.nonzero((own.transpose(1, 0, 2) >= 0) & (sums.sum(axis=(3, 4)) > 0))
+        if len(t):
+            v = sums[t, k, i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t, pa.int32()), pa.array(first + i, pa.int32()), pa.array(own[k, t, i], pa.int32()), pa.array(cuts[k, t, i]),
+                 *[pa.array(n, pa.int64()) for n in (v.sum(axis=(1, 2)), v[:, :, 1].sum(axis=1), v[:, 1].sum(axis=1), v[:, 1, 1])]],
+                names=schema.names)
 
     names = ["n", "pos", "left_n", "left_pos"]
     return rows.mapInArrow(run, schema).groupBy("tree", "node", "feature", "cut").agg(*[F.sum(c).alias(c) for c in names])
@@ -176,7 +190,11 @@ def fit_extra_trees(train: DataFrame, features: list[str], y: str, trees: int =
     if trees * 2 ** (depth + 1) > MAX_NODES:
         raise ValueError(f"{trees} trees of depth {depth} have more than {MAX_NODES} nodes")
     per_node = per_node or max(1, round(len(features) ** 0.5))
-    rows = training_rows(train, features, y)
+    with held(training_rows(train, features, y)) as rows:
+        return _grown(rows, features, trees, depth, per_node, min_leaf, seed)
+
+
+def _grown(rows: DataFrame, features: list[str], trees: int, depth: int, per_node: int, min_leaf: int, seed: int) -> ExtraTrees:
     model = ExtraTrees.roots(features, trees, depth, float(rows.agg(F.avg("_y")).first()[0] or 0.0), seed)
     for level in range(depth):
         cuts = candidates(node_ranges(rows, model), features, per_node, seed)

@@ -13,7 +13,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -93,3 +96,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Fixed value: rows of one partition of a held frame, at most on average.
+ROWS_PER_PART = 250_000
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept in memory, then on disk, for a learner that passes over it many times.
+
+    A compressed table of few splits gives few tasks with many rows each; such a frame is dealt
+    out evenly over as many partitions as its rows need.  A frame of small partitions stays as it is."""
+    n = df.count()
+    if n > ROWS_PER_PART * df.rdd.getNumPartitions():
+        df = df.repartition(-(-n // ROWS_PER_PART))
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
