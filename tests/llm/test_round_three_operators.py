@@ -144,6 +144,45 @@ def test_one_id_with_two_texts_joins_both_sets(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_entries_are_shuffled_once(spark, capsys):
+    rows = [(1, 10), (1, 10), (1, 11), (2, 10), (2, 10), (3, 12), (4, 10), (4, 11), (4, 12), (4, 12)]
+    matrix = spark.createDataFrame(rows, "col bigint, k1 bigint").repartition(3)
+    found = ngram_join.shared_entries(matrix)
+    assert sorted(map(tuple, found.collect())) == [(1, 10), (1, 11), (4, 10), (4, 11), (4, 12)]
+    capsys.readouterr()
+    ngram_join.shared_entries(spark.range(100).selectExpr("id % 7 as col", "id as k1")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "HashAggregate" in plan
+
+
+def test_rows_of_unrepeated_ids_are_not_shuffled(spark, monkeypatch):
+    shown = []
+    kept = ngram_join.kept
+
+    def noted(df, name):
+        out = kept(df, name)
+        if name == "rows":
+            shown.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "kept", noted)
+    docs = [(1, "a b c d e"), (2, "a b c d f"), (3, "x y z w v"), (3, "x y z w v"), (3, "x y z w u"), (3, ""), (4, "q r s t")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sizes = ngram_join.scan(docs).where("part is null").select("doc_id", "n", "k1", "k2")
+    rows = ngram_join._rows(docs, spark.createDataFrame([(1,), (2,), (3,)], "cid bigint"), sizes).collect()
+    assert sorted(r["cid"] for r in rows) == [1, 2, 3, 3] and shown == [5, 2]
+    assert all(len(r["row"]) == 16 for r in rows)
+
+
+def test_one_id_with_a_text_and_an_empty_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # columns of more rows go to representatives
+    texts = edited(plain(EN, 150, 9).split(), 30, 2, 9)
+    rows = [(1, ""), (1, texts[0])] + [(i + 1, t) for i, t in enumerate(texts) if i] + [(40, "")]
+    found = ngram_join.linked_sets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_components([r for r in rows if r[1]]) | {40: 40}
+    assert {r["doc_id"]: r["component_id"] for r in found} == want and len(found) == len(rows)
+
+
 def test_block_product_counts_exactly():
     draw = np.random.default_rng(4)
     base = draw.integers(0, 2**63, 300, dtype=np.uint64)

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import kept, map_rows, read, shuffle_partitions
@@ -168,6 +168,14 @@ def entries(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], make, "col bigint, k1 bigint")
 
 
+def shared_entries(matrix: DataFrame) -> DataFrame:
+    """The distinct entries of the columns of two rows or more.  The entries go to their
+    columns once, and are not written before: they are most of what the join moves."""
+    column = Window.partitionBy("col")
+    several = matrix.withColumns({"x": F.min("k1").over(column), "y": F.max("k1").over(column)}).where("x != y")
+    return several.select("col", "k1").distinct()
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray, percent: int) -> np.ndarray:
     """The product of two blocks of rows, as a boolean matrix: which of the ``wanted`` pairs
     link.  Columns go in ranges; after each, pairs whose overlap so far plus the smaller
@@ -236,12 +244,11 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = kept(sizes.where("k1 is not null").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("cid"), F.first("n").alias("n")), "sets")
 
-    matrix = kept(entries(docs, column_classes(scanned), percent), "entries")
-    columns = matrix.groupBy("col").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y").select("col")
-    members = _different_columns(kept(matrix.join(columns, "col").distinct(), "members"), "k1")
+    members = kept(shared_entries(entries(docs, column_classes(scanned), percent)), "members")
+    members = _different_columns(members, "k1")
     members = kept(members.join(sets.select("k1", "cid", "n"), "k1").select("col", "weight", "cid", "n"), "members")
     members = kept(_enough_shared(members, "cid", percent), "members")
-    rows = kept(_rows(docs, members.select("cid").distinct()).distinct(), "rows")
+    rows = _rows(docs, members.select("cid").distinct(), sizes)
     edges = [kept(_repeated_ids(sizes, sets), "links")]
 
     def labelled(*links: DataFrame) -> DataFrame:
@@ -293,13 +300,20 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, row): the matrix rows of the wanted documents."""
+def _rows(docs: DataFrame, wanted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cid, row): the distinct matrix rows of the wanted documents that have columns.  Only
+    ids that ``sizes`` has several times can repeat a row, so only their rows are shuffled."""
     def make():
-        return lambda ids, texts: [ids, [shingle_row(t).tobytes() for t in texts]]
-
-    wanted = kept(wanted.withColumnRenamed("cid", "doc_id"), "wanted")
-    return map_rows(docs.join(_sent(wanted), "doc_id", "left_semi"), ["doc_id", "text"], make, "cid bigint, row binary")
+        return lambda ids, again, texts: [ids, again, [shingle_row(t).tobytes() for t in texts]]
+
+    wanted = wanted.withColumnRenamed("cid", "doc_id")
+    wanted = kept(sizes.join(_sent(kept(wanted, "wanted")), "doc_id", "left_semi").groupBy("doc_id").agg(
+        (F.count("*") > 1).alias("again")), "wanted")
+    found = map_rows(docs.join(_sent(wanted), "doc_id"), ["doc_id", "again", "text"], make,
+                     "cid bigint, again boolean, row binary")
+    found = kept(found.where(F.octet_length("row") > 0), "rows")
+    repeated = kept(found.where("again").select("cid", "row").distinct(), "rows")
+    return found.where("not again").select("cid", "row").union(repeated)
 
 
 def _repeated_ids(sizes: DataFrame, sets: DataFrame) -> DataFrame:
