@@ -127,6 +127,20 @@ def test_rf_trials_one_row_per_trial(spark, sf_dir):
     assert all(0.0 <= r["obj_tpr"] <= 1.0 for r in rows)
 
 
+def test_forest_trials_share_one_copy_of_their_rows(spark, sf_dir, monkeypatch):
+    from twotier.operators import tuning as tu
+    from twotier.plans import lifecycle
+    frame, held = type(spark.range(1)), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, *level: held.append(df.columns) or persist(df, *level))
+    space = {"n_estimators": tu.IntParam(2, 3), "max_depth": tu.IntParam(2, 3)}
+    counts, models, _ = lifecycle.fitted_forest_trials(spark, sf_dir, 3, 2, space)
+    assert held[1:] == [["features", "label_i"], ["features", "y_l1"]]  # the first is of the preparation
+    _, test = lifecycle.split_frames(spark, sf_dir)
+    n = test.count()
+    assert [sum(r[c] for c in ("tn", "fp", "fn", "tp")) for r in counts.collect()] == [n] * 3 and len(models) == 3
+
+
 def test_retrained_trials_are_read_back_as_fitted(spark, sf_dir):
     rows = {r["layer"]: r for r in Q["retrain_trials"](spark, sf_dir).collect()}
     assert set(rows) == {1, 2}
