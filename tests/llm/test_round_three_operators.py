@@ -318,3 +318,15 @@ def test_edits_and_filters_lose_nothing():
     assert len(held.passes(other, np.full(100_000, 5))) < 1000
     assert len(held.passes(known, np.full(2000, 6))) == 0
     assert hashes.dtype == np.uint64
+
+
+def test_filters_of_hashes_over_all_bits_pass_few_others():
+    draw = np.random.default_rng(2)
+    bits = np.zeros(64 * 512, bool)
+    known, other = (draw.integers(0, 2**64, n, dtype=np.uint64) for n in (2000, 100_000))
+    block = ((known >> np.uint64(32)) * np.uint64(64)) >> np.uint64(32)
+    for j in range(spelling_variants.PROBES):
+        bits[(block * np.uint64(512) + ((spelling_variants.probe_bits(known) >> np.uint64(9 * j)) & np.uint64(511))).astype(np.int64)] = True
+    held = spelling_variants.Filters({5: 64}, {5: (0, 64, 0)}, np.packbits(bits, bitorder="little").view(np.uint64))
+    assert len(held.passes(known, np.full(2000, 5))) == 2000
+    assert len(held.passes(other, np.full(100_000, 5))) < 1000
