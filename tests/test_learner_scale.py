@@ -1,10 +1,12 @@
-"""Learners on larger tables: dealing of held rows, forest trials."""
+"""Learners on larger tables: dealing of held rows, preparation in one aggregate, forest trials, SVM steps, votes."""
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from twotier import session
+from twotier.models import prepare as pp
 from twotier.models import trees as tr
 from twotier.plans import lifecycle
 
@@ -34,6 +36,22 @@ def test_held_rows_keep_all_cores_busy(spark, monkeypatch):
         assert len(rows_of(rows)) == 2 * cores  # whole rounds of tasks
 
 
+def test_preparation_is_one_aggregate(spark, monkeypatch):
+    values = ["b", "a", None, "Z", "é", "￮", "\U0001f600", "a"]
+    df = spark.createDataFrame([(float(i), v, "x") for i, v in enumerate(values)], "n double, c string, k string")
+    frame, held = type(df), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda d, *level: held.append(d.columns) or persist(d, *level))
+    mm, enc = pp.fit_prepare(df, ["n"], ["c", "k"])
+    assert held == [] and (mm.mins, mm.maxs) == ({"n": 0.0}, {"n": 7.0})
+    for stage, c in ((enc.stages[0], "c"), (enc.stages[2], "k")):
+        assert stage.labels == StringIndexer(inputCol=c, outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df).labels
+    out = [r["features"].toArray().tolist() for r in pp.apply_prepare(df, mm, enc).collect()]
+    assert [len(v) for v in out] == [8] * 8 and sum(out[2][1:7]) == 0 and all(sum(v[1:7]) == 1 for i, v in enumerate(out) if i != 2)
+    new = spark.createDataFrame([(3.5, "unseen", "y")], df.schema)
+    assert pp.apply_prepare(new, mm, enc).first()["features"].toArray().tolist() == [0.5] + [0.0] * 7
+
+
 def learner_rows(spark, n=600):
     from pyspark.ml.linalg import Vectors
     draw = np.random.default_rng(11)
@@ -65,3 +83,17 @@ def test_forests_that_fill_the_cores_run_one_by_one(spark, sf_dir, monkeypatch,
     monkeypatch.setattr(lifecycle, "ThreadPoolExecutor", lambda max_workers: pools.append(max_workers) or pool(max_workers))
     counts, models, _ = lifecycle.fitted_forest_trials(spark, sf_dir, 2, 3, {"n_estimators": tu.IntParam(2, 3), "max_depth": tu.IntParam(2, 3)})
     assert pools == [side] and len(models) == counts.count() == 2
+
+
+def test_pca_projection_fixes_signs_as_before(spark):
+    """Signs and the cut to k were two more vector functions a row."""
+    from pyspark.ml.linalg import Vectors
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(60, 4)) * [5.0, 2.0, 1.0, 0.1]
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["i", "v"])
+    model = pp.fit_pca(df, "v", k=3)
+    out = model.transform(df, "v", ["i"], prefix="P")
+    assert out.columns == ["i", "P1", "P2", "P3"]
+    got = np.array([r[1:] for r in out.orderBy("i").collect()])
+    assert np.allclose(got, (x - model.mean) @ model.components)
+    assert len([c for c in out._jdf.queryExecution().optimizedPlan().toString().split("UDF(")]) <= 5
