@@ -6,7 +6,9 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from twotier import session
+from twotier.models import kernel as kn
 from twotier.models import prepare as pp
+from twotier.models import svm_trials as st
 from twotier.models import trees as tr
 from twotier.plans import lifecycle
 
@@ -97,3 +99,42 @@ def test_pca_projection_fixes_signs_as_before(spark):
     got = np.array([r[1:] for r in out.orderBy("i").collect()])
     assert np.allclose(got, (x - model.mean) @ model.components)
     assert len([c for c in out._jdf.queryExecution().optimizedPlan().toString().split("UDF(")]) <= 5
+
+
+def test_svm_step_sums_and_rows_without_kernel(spark):
+    """A far row's rbf kernel is 0 in every value: exponentials were taken of all of them at every step."""
+    import pyarrow as pa
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(300, 3))
+    x[7] = np.nan  # a missing input has no kernel at all
+    y = (x[:, 0] > 0).astype(int)
+    L = x[:20].copy()
+    L[7] = 0.0
+    trials = [st.Trial(0, 1.0, "rbf", 1e9), st.Trial(1, 1.0, "rbf", 0.7), st.Trial(2, 1.0, "poly", 0.5, 0.3, 3),
+              st.Trial(3, 1.0, "sigmoid", 0.5, -0.2), st.Trial(4, 1.0, "poly", 1e200, 0.0, 4), st.Trial(5, 1.0, "linear", 1.0)]
+    model = st.KernelTrials(trials, L)
+    weights = {t.trial_id: draw.normal(size=21) for t in trials}
+    df = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "a double, b double, c double, y int").repartition(3)
+    sums = model.sums(model._rows(df, [F.col(c) for c in "abc"], "y"), trials, weights)
+    model.weights = weights
+    counts = {r["trial_id"]: tuple(r)[1:] for r in model.counts(df, [F.col(c) for c in "abc"], "y").collect()}
+    sign = 2.0 * y - 1.0
+    for t in trials:
+        with np.errstate(all="ignore"):
+            K = np.nan_to_num(kn.kernel_np(t.kind, x, L, t.gamma, t.coef0, t.degree), posinf=0.0, neginf=0.0)
+        Z = np.column_stack([K @ model.maps[t.setting], np.ones(300)])
+        margin = Z @ weights[t.trial_id]
+        slack = np.maximum(1.0 - sign * margin, 0.0)
+        loss, gradient, curvature = sums[t.trial_id]
+        V = Z[slack > 0]
+        assert loss == pytest.approx((slack ** 2).sum(), rel=1e-6)
+        assert np.allclose(gradient, -2.0 * (Z.T @ (slack * sign)), rtol=1e-5, atol=1e-5)
+        assert np.allclose(curvature, 2.0 * (V.T @ V), rtol=1e-5, atol=1e-5)
+        up = margin > 0
+        assert counts[t.trial_id] == (int((up & (y == 1)).sum()), int((up & (y == 0)).sum()), int((~up & (y == 0)).sum()), int((~up & (y == 1)).sum()))
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(y)], names=["x", "y"])
+    block, = st.blocks([batch], L, {"rbf"})
+    at, K = block.kernel(trials[0].setting)
+    assert sorted(at) == [i for i in range(20) if i != 7] and K.shape == (19, 20)  # the landmarks themselves
+    at, K = block.kernel(trials[1].setting)
+    assert len(at) == 299
