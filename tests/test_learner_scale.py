@@ -138,3 +138,12 @@ def test_svm_step_sums_and_rows_without_kernel(spark):
     assert sorted(at) == [i for i in range(20) if i != 7] and K.shape == (19, 20)  # the landmarks themselves
     at, K = block.kernel(trials[1].setting)
     assert len(at) == 299
+
+
+def test_both_votes_come_from_one_pass(spark, sf_dir):
+    """A union scored every test row twice."""
+    from __spark_entry__ import queries
+    out = queries()["vote_rf_nb"](spark, sf_dir)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 1
+    assert {r["model"] for r in out.collect()} == {"rf_nb_soft", "rf_nb_hard"}
