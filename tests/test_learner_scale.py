@@ -147,3 +147,13 @@ def test_both_votes_come_from_one_pass(spark, sf_dir):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("Relation") == 1
     assert {r["model"] for r in out.collect()} == {"rf_nb_soft", "rf_nb_hard"}
+
+
+def test_both_detectors_are_fitted_on_one_held_copy(spark, sf_dir, monkeypatch):
+    """The second forest read, split and shuffled the source again."""
+    from __spark_entry__ import queries
+    from twotier.models.detector import Detector
+    fitted, fit = [], Detector.fit_forest
+    monkeypatch.setattr(Detector, "fit_forest", staticmethod(lambda layer, train, *sizes: fitted.append(train.is_cached) or fit(layer, train, *sizes)))
+    rows = queries()["stream_detector_swap"](spark, sf_dir).collect()
+    assert fitted == [True, True] and all(r["n"] == r["n_batch"] for r in rows)
